@@ -7,10 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepieces, token_files
+from . import gif, langid, quality, sentencepieces, token_files
 from .common import documents
 
 
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest(gif.store(documents(spark, sf_dir)))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -19,5 +28,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_sentencepiece, op6_token_files)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.assess(docs, quality.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_gif, op3_langid, op5_sentencepiece, op6_token_files, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
