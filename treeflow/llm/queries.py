@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, quality, sentencepieces, token_files
+from . import gif, langid, quality, sentencepieces, simhash, token_files
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,5 +37,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_gif, op3_langid, op5_sentencepiece, op6_token_files, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
