@@ -13,16 +13,16 @@ class ChunkTable:
     """Segments each distinct chunk once; texts get their ids by joining their chunks' entries back by position.
 
     ``encode`` takes a list of distinct chunks and returns one entry for each. The table is emptied when it holds
-    more than KEEP chunks, so its memory is bounded; entries are recomputed then, and results do not change.
+    more than ``keep`` chunks, so its memory is bounded; entries are recomputed then, and results do not change.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Any]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[Any]], keep: int = KEEP):
+        self.encode, self.keep = encode, keep
         self.table: dict[str, Any] = {}
 
     def entries(self, chunked: list[list[str]]) -> list[list[Any]]:
         table = self.table
-        if len(table) > KEEP:
+        if len(table) > self.keep:
             table.clear()
         new = list(set().union(*chunked).difference(table))
         found = self.encode(new) if new else []

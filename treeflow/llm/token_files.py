@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from .common import batch, columns, partitions, scratch, scratch_path, slices
 #: Characters that no tokenizer pattern treats as white space; a space after one of them starts a new chunk.
 _OTHER_BEFORE_SPACE = re.compile(r"[^\w!-~] ")
 _SOLID = re.compile(r"[\w!-~]")
+#: One run of letters from long-settled blocks of Unicode, and perhaps ASCII punctuation after it.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+)([!-/:-@\[-`{-~]*)")
 _TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 _MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index_file", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -27,9 +32,83 @@ _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start",
 
 @functools.lru_cache(maxsize=2)
 def _load(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+
+
+def line_pieces(text: str) -> list[str]:
+    """The text cut at spaces and newlines, as keys that tell what stood before each piece.
+
+    A piece that begins the text has a space before it, one that begins a line has a newline; the others followed a
+    space. (Pieces hold neither, so keys are unambiguous.)
+    """
+    out: list[str] = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out.append("\n" + first)
+        out += rest
+    out[0] = " " + out[0][1:]
+    return out
+
+
+class Encoder:
+    """Ids of the distinct keys of ``line_pieces``, as bytes of a little-endian array.
+
+    None where a piece has white space (or what may count as such) at an end: then pieces of that text do not stand
+    alone. A piece of letters with perhaps punctuation after it is one or two words of the tokenizer's pattern, so the
+    library's model gets these directly, without the cost of offsets and masks. All other pieces go through the
+    library's whole encoder.
+    """
+
+    def __init__(self, tok: Tokenizer, kind: str):
+        self.tok, self.kind, self.letters = tok, kind, _byte_letters()
+        spec = json.loads(tok.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.alone = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+        self.direct = self.alone and not any(re.search("[A-Za-z]", x["content"]) and _PLAIN.fullmatch(x["content"]) for x in spec["added_tokens"])
+        self.marks = {"": b""}
+        self.newline = self.model("\n")
+
+    def model(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+
+    def __call__(self, keys: list[str]) -> list[bytes | None]:
+        out: list[bytes | None] = [None] * len(keys)
+        rest = []
+        for i, key in enumerate(keys):
+            begins = key[:1] if key[:1] in (" ", "\n") else ""
+            piece = key[len(begins) :]
+            if self.direct and (m := _PLAIN.fullmatch(piece)):
+                word, marks = m[1], m[2]
+                if marks not in self.marks:
+                    self.marks[marks] = self.model(marks)
+                ids = self.model(word if begins else " " + word)
+                out[i] = (self.newline + ids if begins == "\n" else ids) + self.marks[marks]
+            elif piece and _SOLID.match(piece[0]) and _SOLID.match(piece[-1]):
+                rest.append((i, begins, piece if begins else " " + piece))
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        for (i, begins, _), ids in zip(rest, self.whole([x[2] for x in rest]), strict=True):
+            out[i] = self.newline + ids if begins == "\n" else ids
+        return out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for k in range(0, len(texts), 2000) for e in self.tok.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)]
+
+    def text(self, text: str) -> bytes:
+        """A text whose pieces do not stand alone: by larger chunks, each distinct one once."""
+        chunks = spaced_chunks(text) if self.alone else [text]
+        distinct = list(set(chunks))
+        return b"".join(map(dict(zip(distinct, self.whole(distinct), strict=True)).__getitem__, chunks))
+
+
 def spaced_chunks(text: str) -> list[str]:
     """Chunks that a byte-level pattern tokenizer treats alike alone and in the text.
 
@@ -54,20 +133,18 @@ def spaced_chunks(text: str) -> list[str]:
 def tokenized(docs: DataFrame, path: str, bounds: list[int], end_id: int, width: str, id_col: str, text_col: str) -> DataFrame:
     """Rows (part, doc_id, ids): part is the range of doc_id in ``bounds``, ids a little-endian array."""
 
-    def encode(tok: Tokenizer, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=width).tobytes() for e in tok.encode_batch(words, add_special_tokens=False)]
-
     def run(batches):
-        tok = _load(path)
-        table = ChunkTable(functools.partial(encode, tok))
+        encoder = Encoder(_load(path), "H" if width == "<u2" else "I")
+        table = ChunkTable(encoder, keep=300_000)
         end, cuts = np.array([end_id], dtype=width).tobytes(), np.array(bounds, dtype=np.int64)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             keys = b.column(0)
             part = np.where(np.array(keys.is_null()), 0, np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
-            for i, j in slices(len(texts), [len(t) for t in texts], 2_000_000):
-                entries = table.entries([spaced_chunks(t) for t in texts[i:j]])
-                yield batch(_TOKENS, part[i:j], keys.slice(i, j - i), [b"".join([*es, end]) for es in entries])
+            for i, j in slices(len(texts), [len(t) for t in texts], 1_000_000):
+                entries = table.entries([line_pieces(t) if t and encoder.alone else [] for t in texts[i:j]])
+                ids = [encoder.text(t) if t and (not es or None in es) else b"".join(es) for t, es in zip(texts[i:j], entries, strict=True)]
+                yield batch(_TOKENS, part[i:j], keys.slice(i, j - i), [x + end for x in ids])
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "part int, doc_id long, ids binary")
 
