@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, quality, sentencepieces, simhash, token_files
+from . import gif, langid, mixing, pii, quality, sentencepieces, simhash, token_files
 from .common import documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(gif.store(documents(spark, sf_dir)))
 
@@ -32,10 +36,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.assess(docs, quality.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op8_pii, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
