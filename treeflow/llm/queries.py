@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, mixing, pii, quality, sentencepieces, simhash, token_files
+from . import gif, langid, mixing, pii, quality, recompression, sentencepieces, simhash, token_files
 from .common import documents
 
 
@@ -45,5 +45,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op8_pii, op9_quality)}
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op8_pii, op9_quality, op10_recompression)}
 ORACLE_SQL: dict[str, str] = {}
