@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, mixing, pii, quality, recompression, sentencepieces, simhash, token_files
+from . import gif, langid, mixing, pii, quality, recompression, sentencepieces, simhash, suffix_dedup, token_files
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -49,5 +53,5 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op8_pii, op9_quality, op10_recompression)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op7_suffix_array, op8_pii, op9_quality, op10_recompression)}
 ORACLE_SQL: dict[str, str] = {}
