@@ -188,6 +188,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     return fit_lines([line_features(x) for x in _PRIMER] + rows + [line_features(x) for x in _PRIMER])
 
 
+def _share(model: LineModel, lines: list[bytes]) -> float:
+    """The share of words that lies in content lines."""
+    size = np.array([len(x.split()) for x in lines])
+    return float(size[model.viterbi(line_features(lines)) == 1].sum() / size.sum())
+
+
 def assess(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
     """Base figures and the verdict on each row.
 
@@ -204,9 +210,24 @@ def assess(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_co
                 figures = base_figures(raw, words, lines)
                 share = 0.0
                 if not figures[-1]:
-                    size = np.array([len(x.split()) for x in lines])
-                    share = float(size[model.viterbi(line_features(lines)) == 1].sum() / size.sum())
+                    share = _share(model, lines)
                 rows.append((*figures, not figures[-1] and share >= content_share, share))
             yield batch(_OUT, b.column(0), *[list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 8)
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, _DDL)
+
+
+def keep(docs: DataFrame, model: LineModel, *, text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows that ``assess`` keeps, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            kept = []
+            for raw in as_bytes(b.column(place)):
+                raw = raw or b""
+                words, lines = raw.split(), _lines(raw)
+                kept.append(not base_figures(raw, words, lines)[-1] and _share(model, lines) >= content_share)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

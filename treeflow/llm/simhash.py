@@ -140,6 +140,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return placed.mapInArrow(_tiles, "u long, v long")
 
 
+def components_of(fps: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of each fingerprint in (doc_id, fp)."""
+    distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(scratch(links(distinct.select("fp")), "links"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of the input.
 
@@ -148,9 +157,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component with none but null ids has a null component_id. An empty table gives an empty one.
     """
     fps = scratch(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(scratch(links(distinct.select("fp")), "links"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(components_of(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id (null last).
+
+    Of rows that share that id, those with the smallest hash of the text count, and of equal rows one stays.
+    """
+    names = docs.columns
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.col(text_col), F.col(id_col).isNull())]
+    own = docs.select(*[F.col(f"`{c}`") for c in names], keys[0].alias("__id"), keys[1].alias("__tx"))
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(x or b"") for x in as_bytes(b.column(3))], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "id", "tx", "fp"])
+
+    fps = own.select(F.col(id_col).cast("long").alias("doc_id"), "__id", "__tx", F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, id long, tx long, fp long")
+    fps = scratch(fps, "fingerprints")
+    chosen = fps.join(components_of(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "id", "tx")).alias("first"))
+    chosen = chosen.select(F.col("first.id").alias("__id"), F.col("first.tx").alias("__tx"))
+    return own.join(chosen, ["__id", "__tx"]).dropDuplicates(["__id", "__tx"]).select(*[F.col(f"`{c}`") for c in names])
