@@ -175,20 +175,18 @@ def _writer(root: str, length: int, width: str, rows: int):
                 self.flush(last=False)
 
         def flush(self, last: bool) -> None:
-            values = np.frombuffer(b"".join(self.rest), dtype=width)
-            whole = len(values) // length * length
-            for i in range(0, whole, rows * length):
-                self.put(values[i : min(i + rows * length, whole)], None)
+            values, size = np.frombuffer(b"".join(self.rest), dtype=width), rows * length
+            whole = len(values) // size * size
+            for i in range(0, whole, size):  # all batches but the last have the same number of rows
+                self.put(values[i : i + size], size)
             rest = values[whole:]
             if last and len(rest):
-                self.put(np.concatenate([rest, np.zeros(length - len(rest), width)]), len(rest))
+                self.put(np.concatenate([rest, np.zeros(-len(rest) % length, width)]), len(rest))
                 rest = rest[:0]
             self.rest, self.held = [rest.tobytes()], len(rest)
 
-        def put(self, values: np.ndarray, filled: int | None) -> None:
-            mask = np.ones(len(values), bool)
-            if filled is not None:
-                mask[filled:] = False
+        def put(self, values: np.ndarray, filled: int) -> None:
+            mask = np.arange(len(values)) < filled
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (values, mask)]
             self.files[0].write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
 
@@ -246,6 +244,8 @@ class SequenceReader:
         while n > 0:
             k, i = divmod(start, per)
             found.append(self.values(k)[i : i + n])
+            if not len(found[-1]):
+                raise ValueError(f"ids end before {start + n}")
             start, n = start + len(found[-1]), n - len(found[-1])
         return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, self.dtype)
 
