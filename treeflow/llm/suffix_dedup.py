@@ -14,7 +14,7 @@ from .suffixes import repeated_prefixes, suffix_array
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts that one suffix array holds, about; an anchor with more contexts than CONTEXTS is settled by
 #: named windows instead, spread over all tasks, which is exact as well.
-SHARD_BYTES, CONTEXTS = 1_500_000, 2000
+SHARD_BYTES, CONTEXTS = 1_500_000, 8192
 _UNITS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _C = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tx", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("once", pa.bool_()), ("context", pa.binary())])
 _R = pa.schema([("doc", pa.int64()), ("tx", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
@@ -64,7 +64,7 @@ def repeated_in(contexts: list[bytes], windows_of: np.ndarray) -> list[np.ndarra
     sizes = np.array([len(x) + 1 for x in contexts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     raw = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8)
-    text = raw.astype(np.int64) + 2
+    text = raw.astype(np.int32) + 2
     text[starts + sizes - 1] = 1  # the marks
     text[-1] = 0
     sa = suffix_array(text, 258, WIDTH)

@@ -51,7 +51,7 @@ def _induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int)
     counts = np.bincount(text, minlength=sigma)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, text.dtype)
     seed_chars = text[seeds]
     by_char = np.argsort(seed_chars, kind="stable")
     seeds_sorted = seeds[by_char]
@@ -128,20 +128,20 @@ def suffix_array(text: np.ndarray, sigma: int, depth: int | None = None) -> np.n
     n = len(text)
     if n <= 2:
         return np.argsort(text, kind="stable")
-    text = np.ascontiguousarray(text, dtype=np.int64)
+    text = np.ascontiguousarray(text, dtype=np.int32 if n < 1 << 31 else np.int64)
     depth = n if depth is None else depth
     types = suffix_types(text)
-    lms = leftmost_smaller(types)
+    lms = leftmost_smaller(types).astype(text.dtype)
     if len(lms) > 1:
         # sort leftmost-smaller substrings by inducing from their places alone, and name them
         sa = _induce(text, types, lms, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
-        stop = np.empty(n, np.int64)
+        stop = np.empty(n, text.dtype)
         stop[lms] = np.concatenate([lms[1:], [n - 1]]) + 1
         new = np.concatenate([[False], _differ(text, ordered, stop)])
-        name = np.empty(n, np.int64)
+        name = np.empty(n, text.dtype)
         name[ordered] = np.cumsum(new)
         reduced = name[lms]
         names = int(reduced.max()) + 1
@@ -178,7 +178,7 @@ def repeated_prefixes(raw: np.ndarray, sa: np.ndarray, starts: np.ndarray, width
     places marked in ``starts``, and only for as long as bytes agree.
     """
     n = len(sa)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
     at = np.flatnonzero(starts)
     at = at[before[at] >= 0]
