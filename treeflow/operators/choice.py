@@ -107,7 +107,8 @@ def logit_draws(flow: Flow, coefficients: Coefficients, draws: Any = 1, source:
         raise ValueError("a one-dimensional root needs coefficients for each of several alternatives")
     df = flow.evaluated(source)
     keys = flow._keys()
-    names = {a: f"__u_{i}" for i, a in enumerate(u := flow.utilities(coefficients))}
+    u = flow.utilities(coefficients)
+    names = {a: f"__u_{i}" for i, a in enumerate(u)}
     df = df.withColumns({names[a]: c for a, c in u.items()})
     columns = {a: F.col(n) for a, n in names.items()}
     if nesting is None:
