@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -241,8 +242,6 @@ def taken(docs: DataFrame, **names: str) -> DataFrame:
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The stretches of text over the spans (first word, words), in order, joined by newlines; whole if they cover it."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", text)]
     merged: list[list[int]] = []
     for first, words in sorted(spans):
@@ -265,20 +264,21 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts, drawn, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
     found = parts.join(drawn.select("rank", "block", "pass"), ["rank", "block"])
     spans = found.groupBy("doc_id", "rank", "bucket", "row", "size", "pass").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
-    # rows are matched by id, size and their place among equal rows of a source, as ``packed`` numbers them
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`") for c in names], docs[id_col].alias("__id"), docs[source_col].alias("__source"))
     return _attach(own, spans, names, text_col, chars_col)
 
 
 def _attach(own: DataFrame, spans: DataFrame, names: list[str], text_col: str, chars_col: str | None) -> DataFrame:
-    # one row of the input for each id; passes of equal rows hang on the same text
-    first = own.dropDuplicates(["__id"])
-    joined = first.join(spans.withColumnRenamed("doc_id", "__key"), F.col("__id").eqNullSafe(F.col("__key")))
+    """Rows of the input, one for each id, with the stretches of each pass over it."""
+    passes = spans.select(F.col("doc_id").alias("__key"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
+    joined = own.dropDuplicates(["__id"]).join(passes, F.col("__id").eqNullSafe(F.col("__key")))
     text = F.pandas_udf(lambda t, s: pd.Series([cut(x, [(y["first"], y["words"]) for y in z]) for x, z in zip(t, s, strict=True)]), "string")
-    whole = (F.size("spans") > 0) & (F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col("size"))
-    # complete rows keep their text without a trip to Python
-    new = joined.withColumn("__text", F.when(whole, F.col(text_col)).otherwise(text(F.when(~whole, F.col(text_col)).otherwise(F.lit("")), F.when(~whole, F.col("spans")).otherwise(F.array().cast("array<struct<first:bigint,words:bigint>>")))))
+    whole = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col("__size")
+    # rows that a pass takes whole keep their text; only the others' goes to Python
+    none = F.array().cast("array<struct<first:bigint,words:bigint>>")
+    parted = text(F.when(~whole, F.col(f"`{text_col}`")).otherwise(F.lit("")), F.when(~whole, F.col("__spans")).otherwise(none))
+    new = joined.withColumn("__text", F.when(whole, F.col(f"`{text_col}`")).otherwise(parted))
     out = []
     for c in names:
         if c == text_col:
