@@ -235,7 +235,7 @@ def taken(docs: DataFrame, **names: str) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of each row, repeats counted."""
     parts, drawn, sources = mix(docs, **names)
     repeats = drawn.groupBy("rank", "block").agg(F.count("*").alias("n"))
-    joined = parts.join(repeats, ["rank", "block"], "left")
+    joined = parts.join(repeats.hint("merge"), ["rank", "block"], "left")  # a plan's guess at drawn rows is far too low
     rows = joined.groupBy("doc_id", "rank", "bucket", "row", "size").agg(F.sum(F.col("words") * F.coalesce("n", F.lit(0))).alias("taken"))
     return rows.select("doc_id", "size", _by_rank(sources, "size", "long").alias("source_size"), _by_rank(sources, "target", "double").alias("target"), "taken")
 
@@ -262,7 +262,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows that share an id must be equal, or else be told apart by another id column.
     """
     parts, drawn, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    found = parts.join(drawn.select("rank", "block", "pass"), ["rank", "block"])
+    found = parts.join(drawn.select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     spans = found.groupBy("doc_id", "rank", "bucket", "row", "size", "pass").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`") for c in names], docs[id_col].alias("__id"), docs[source_col].alias("__source"))
