@@ -148,18 +148,18 @@ def _single(coefficients: Coefficients, flow: Flow) -> bool:
 def shares_by_row(df: DataFrame, chooser: str, alternative: str, utility: str) -> DataFrame:
     """Adds prob, logsum, upto and after (running shares before and with the row) over each chooser's alternatives.
 
-    All windows share one partitioning by chooser, so there is one shuffle.
+    All windows share one partitioning and order, so there is one shuffle and one sort.
     """
-    by = Window.partitionBy(chooser)
-    run = by.orderBy(alternative).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = df.withColumn("__top", F.max(utility).over(by))
-    d = d.withColumn("__e", F.exp(F.col(utility) - F.col("__top"))).withColumn("__total", F.sum("__e").over(by))
+    rows = Window.partitionBy(chooser).orderBy(alternative)
+    all_, run = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = df.withColumn("__top", F.max(utility).over(all_))
+    d = d.withColumn("__e", F.exp(F.col(utility) - F.col("__top")))
+    d = d.withColumn("__total", F.sum("__e").over(all_))
     d = d.withColumn("prob", F.col("__e") / F.col("__total")).withColumn("logsum", F.log("__total") + F.col("__top"))
-    d = d.withColumn("after", F.sum("prob").over(run))
-    last = by.orderBy(alternative)
-    d = d.withColumn("upto", F.coalesce(F.lag("after").over(last), F.lit(0.0)))
     solid = F.when(F.col("prob") >= TRIVIAL, F.col(alternative))
-    return d.withColumn("__last", F.max(solid).over(by)).withColumn("__end", F.max("after").over(by)).drop("__top", "__e", "__total")
+    d = d.withColumns({"after": F.sum("prob").over(run), "__last": F.max(solid).over(all_)})
+    d = d.withColumns({"upto": F.coalesce(F.lag("after").over(rows), F.lit(0.0)), "__end": F.max("after").over(all_)})
+    return d.drop("__top", "__e", "__total")
 
 
 def _long(flow: Flow, coefficients: Coefficients, draws: Any, source: DataFrame | None, logsums: int, pick_counted: bool, mask: str | Column | None, seed: int) -> DataFrame:
