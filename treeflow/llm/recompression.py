@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import as_bytes, batch, mix64, scratch
-from .repeats import Names, anchors, covered, grouped, keyed, ranges_of, sha, sliding_least, windows, with_texts
+from .repeats import Names, anchors, covered, doc_id, grouped, keyed, ranges_of, sha, sliding_least, windows, with_texts
 
 #: Words of a window, and rounds of naming.
 WINDOW, ROUNDS = 50, 2
@@ -87,7 +87,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     contexts, the least document of each has its windows named and compared one by one, so that the edges of shared
     passages are exact. Minima are partial sums; nothing gathers the occurrences of a name.
     """
-    found = scratch(anchors(rows.where("doc_id is not null"), anchoring), "anchors")
+    found = scratch(anchors(rows.where(F.col("tx").bitwiseAND(F.lit(1)) == 0), anchoring), "anchors")
     shared = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("least < most")
     again = scratch(found.join(shared.select("h", "least", (F.col("k0") == F.col("k1")).alias("same")), "h"), "shared")
     alike = again.where("same and doc > least").select("doc", "tx", "lo", "n")
@@ -128,7 +128,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             out = [(total, total - len(kept), sha(b" ".join(kept))) for kept, total in _each(b)]
             yield batch(_OUT, b.column(0), *[list(x) for x in zip(*out, strict=True)] if out else [[]] * 3)
 
-    joined = with_texts(rows, repeated(rows), "left").select("doc_id", "text", "ranges")
+    joined = with_texts(rows, repeated(rows), "left").select(doc_id(), "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -141,5 +141,5 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out = [(b" ".join(kept).decode(), total, total - len(kept)) for kept, total in _each(b)]
             yield batch(_KEPT, b.column(0), *[list(x) for x in zip(*out, strict=True)] if out else [[]] * 3)
 
-    joined = with_texts(rows, repeated(rows), "left").select("doc_id", "text", "ranges")
+    joined = with_texts(rows, repeated(rows), "left").select(doc_id(), "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")

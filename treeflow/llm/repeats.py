@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_bytes, batch, columns, mix64
 
@@ -82,9 +82,18 @@ Anchoring = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, doc, tx): doc and tx tell rows apart even where ids are null or shared; equal rows share both."""
+    """(doc, tx, text): doc and tx tell rows apart even where ids are null or shared; equal rows share both.
+
+    The lowest bit of tx says that the id is null, so ``doc_id`` gets it back and every join with texts reads the same
+    three columns: within one plan they are shuffled once.
+    """
     d = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return d.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tx"))
+    null = F.col("doc_id").isNull().cast("long")
+    return d.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(null).alias("tx"), "text")
+
+
+def doc_id() -> Column:
+    return F.when(F.col("tx").bitwiseAND(F.lit(1)) == 0, F.col("doc")).alias("doc_id")
 
 
 def anchors(rows: DataFrame, anchoring: Anchoring) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import as_bytes, batch, mix64, partitions, scratch
-from .repeats import Names, anchors, covered, grouped, keyed, ranges_of, sha, sliding_least, spread, windows, with_texts
+from .repeats import Names, anchors, covered, doc_id, grouped, keyed, ranges_of, sha, sliding_least, spread, windows, with_texts
 from .suffixes import repeated_prefixes, suffix_array
 
 #: Bytes of a string, and of the gram that anchors it.
@@ -156,7 +156,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             out = [(len(raw), len(raw) - len(kept), len(starts), sha(kept)) for raw, kept, starts, _ in _each(b)]
             yield batch(_OUT, b.column(0), *[list(x) for x in zip(*out, strict=True)] if out else [[]] * 4)
 
-    joined = with_texts(rows, repeated(rows), "left").select("doc_id", "text", "ranges")
+    joined = with_texts(rows, repeated(rows), "left").select(doc_id(), "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -169,5 +169,5 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out = [(kept, starts, stops) for _, kept, starts, stops in _each(b)]
             yield batch(_KEPT, b.column(0), *[list(x) for x in zip(*out, strict=True)] if out else [[]] * 3)
 
-    joined = with_texts(rows, repeated(rows), "left").select("doc_id", "text", "ranges")
+    joined = with_texts(rows, repeated(rows), "left").select(doc_id(), "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, kept binary, starts array<long>, stops array<long>")
