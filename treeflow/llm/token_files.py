@@ -25,6 +25,8 @@ _OTHER_BEFORE_SPACE = re.compile(r"[^\w!-~] ")
 _SOLID = re.compile(r"[\w!-~]")
 #: One run of letters from long-settled blocks of Unicode, and perhaps ASCII punctuation after it.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+)([!-/:-@\[-`{-~]*)")
+#: Pieces, and words without their punctuation, that a worker's tables hold before they are emptied.
+KEEP = 400_000
 _TOKENS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 _MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index_file", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -73,6 +75,7 @@ class Encoder:
         self.alone = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(re.search(r"\s", x["content"]) for x in spec["added_tokens"])
         self.direct = self.alone and not any(re.search("[A-Za-z]", x["content"]) and _PLAIN.fullmatch(x["content"]) for x in spec["added_tokens"])
         self.marks = {"": b""}
+        self.words: dict[str, bytes] = {}
         self.newline = self.model("\n")
 
     def model(self, word: str) -> bytes:
@@ -81,7 +84,9 @@ class Encoder:
 
     def __call__(self, keys: list[str]) -> list[bytes | None]:
         out: list[bytes | None] = [None] * len(keys)
-        rest = []
+        rest, words = [], self.words
+        if len(words) > KEEP:
+            words.clear()
         for i, key in enumerate(keys):
             begins = key[:1] if key[:1] in (" ", "\n") else ""
             piece = key[len(begins) :]
@@ -89,7 +94,10 @@ class Encoder:
                 word, marks = m[1], m[2]
                 if marks not in self.marks:
                     self.marks[marks] = self.model(marks)
-                ids = self.model(word if begins else " " + word)
+                word = word if begins else " " + word
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = self.model(word)
                 out[i] = (self.newline + ids if begins == "\n" else ids) + self.marks[marks]
             elif piece and _SOLID.match(piece[0]) and _SOLID.match(piece[-1]):
                 rest.append((i, begins, piece if begins else " " + piece))
@@ -109,6 +117,12 @@ class Encoder:
         return b"".join(map(dict(zip(distinct, self.whole(distinct), strict=True)).__getitem__, chunks))
 
 
+@functools.lru_cache(maxsize=2)
+def _table(path: str, kind: str) -> ChunkTable:
+    """A worker's table of pieces, kept from task to task and bounded by KEEP."""
+    return ChunkTable(Encoder(_load(path), kind), keep=KEEP)
+
+
 def spaced_chunks(text: str) -> list[str]:
     """Chunks that a byte-level pattern tokenizer treats alike alone and in the text.
 
@@ -134,8 +148,8 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int], end_id: int, width:
     """Rows (part, doc_id, ids): part is the range of doc_id in ``bounds``, ids a little-endian array."""
 
     def run(batches):
-        encoder = Encoder(_load(path), "H" if width == "<u2" else "I")
-        table = ChunkTable(encoder, keep=300_000)
+        table = _table(path, "H" if width == "<u2" else "I")
+        encoder = table.encode
         end, cuts = np.array([end_id], dtype=width).tobytes(), np.array(bounds, dtype=np.int64)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
