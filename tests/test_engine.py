@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeflow.functions import ExpressionError
+from treeflow.functions.timing import TimingLog
 from treeflow.operators import choice, encoding, lookup
 from treeflow.operators.nesting import NestingTree, construct_nesting_tree
 from treeflow.operators.table import Table, concat_tables
 from treeflow.plans import Flow, Node, Relationship, Tree
 from treeflow.sources import DataStore, ReadOnlyError, construct, from_arrow, from_matrices, from_parquet_3d
 from treeflow.sources.spec import read_spec
+from treeflow.sources.tensors import read_node, release, share, write_node
 from treeflow.streaming import apply_stream, write_stream
 
 
@@ -282,6 +284,19 @@ def test_wide_files(spark, tmp_path):
         from_matrices(spark, {"DIST": [[1, 2]]}, ("o", "d"), labels=[1])
 
 
+def test_nodes_as_folders(spark, nodes, tmp_path):
+    write_node(nodes["skims"], f"file://{tmp_path}/n", partition_by="timeperiod")
+    back = read_node(spark, f"file://{tmp_path}/n")
+    assert back.dims == nodes["skims"].dims and back.frames[0].df.exceptAll(nodes["skims"].frames[0].df).count() == 0
+    release(share(back))
+    with pytest.raises(FileNotFoundError):
+        read_node(spark, f"file://{tmp_path}/m")
+    timing = TimingLog()
+    with timing.step("a"):
+        pass
+    assert timing.seconds["a"] >= 0
+
+
 def test_store(spark, tmp_path):
     s = DataStore(spark, f"file://{tmp_path}/s")
     s.set_data("t", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), "k")

@@ -542,6 +542,17 @@ def quilt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.read()
 
 
+@query(f"select s.o, s.d, s.period, {r6('TIME_')} TIME_ from {TIME_SQL} s where period = '3-MEDIUM'")
+def tensor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.scratch import scratch_path
+    from .sources.tensors import read_node, write_node
+
+    path = scratch_path(spark, "tensor")
+    write_node(skims(spark, sf_dir), path, partition_by="period")
+    three = next(f.df for f in read_node(spark, path).frames if "period" in f.dims)
+    return rounded(three.where("period = '3-MEDIUM'").withColumnRenamed("TIME", "TIME_"))
+
+
 @query(f"select event_id, {r6('value * 2 + c_acctbal')} v from events left join customer on user_id = c_custkey")
 def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow that a stream of events goes through, run over all events as a batch; the tests run the stream."""
