@@ -125,7 +125,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     out = alike.unionByName(copies).unionByName(edges)
     hot = placed.where(F.col("contexts") > CONTEXTS)
     if hot.limit(1).count():
-        each = scratch(windows(rows, hot.select("doc", "tx", "lo", "n"), byte_names, WIDTH), "windows")
+        # made twice from the one exchange of texts, so that wide names add no shuffle of texts
+        each = windows(rows, hot.select("doc", "tx", "lo", "n"), byte_names, WIDTH)
         twice = each.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
         out = out.unionByName(each.join(twice, ["w1", "w2"]).select("doc", "tx", "lo", F.lit(1).alias("n")))
     return out
