@@ -62,20 +62,32 @@ def _settle(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         left, right = new_left, new_right
 
 
+def _joined(table: np.ndarray, old: np.ndarray, new: np.ndarray):
+    """Edges between the rows that labels named before and those they name now."""
+    moved = new != old
+    if moved.any():
+        pairs = np.unique(np.stack([old[moved], new[moved]]), axis=1)
+        yield table[pairs[0]], table[pairs[1]]
+
+
 def bucket_links(table: np.ndarray, probes: list[np.ndarray]):
-    """Edges that join the members of one tile as its pairs within RADIUS do: a spanning set, not all pairs."""
-    n = len(table)
+    """Edges that join the members of one tile as its pairs within RADIUS do: a spanning set, not all pairs.
+
+    Edges always join a row to the row its label names: each change of a label gives an edge from the former to the
+    new one, so rows that a probe does not touch stay joined to those it relabels.
+    """
+    own = np.arange(len(table))
     near = np.bitwise_count(table[:, None] ^ table[None, :]) <= RADIUS
-    label = _settle(near, np.arange(n), np.arange(n))[0]
+    label = _settle(near, own, own)[0]
+    yield from _joined(table, own, label)
     for p in probes:
         near = np.bitwise_count(p[:, None] ^ table[None, :]) <= RADIUS
         hit = near.any(axis=1)
         if hit.any():
-            mine, label = _settle(near[hit], np.full(int(hit.sum()), n), label)
+            mine, new = _settle(near[hit], np.full(int(hit.sum()), len(table)), label)
             yield p[hit], table[mine]
-    moved = np.flatnonzero(label != np.arange(n))
-    if len(moved):
-        yield table[moved], table[label[moved]]
+            yield from _joined(table, label, new)
+            label = new
 
 
 def _tiles(batches):
