@@ -168,10 +168,10 @@ def _running(df: DataFrame, keys: list[str], order: list[Column], value: str, na
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): size counts the words; a null text has none."""
-    d = columns(docs, doc_id=id_col, text=text_col, source=source_col)
-    return d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, *keys): size counts the words; a null text has none."""
+    d = columns(docs, doc_id=id_col, text=text_col, source=source_col, **{k: k for k in keys})
+    return d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keys)
 
 
 def packed(sizes: DataFrame, sources: list[Source], rows: int) -> DataFrame:
@@ -179,8 +179,9 @@ def packed(sizes: DataFrame, sources: list[Source], rows: int) -> DataFrame:
 
     Rows of a source are strung together by hash buckets of their ids, so that sums run in windows of about
     BUCKET_ROWS rows, then over buckets in groups, then over groups: no window holds a source. Equal ids are
-    interchangeable, since only their sizes and places count.
+    interchangeable where only their sizes and places count; keys beside doc_id, source and size stay and break ties.
     """
+    keys = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     n = 1
     while n * BUCKET_ROWS < rows:
         n *= 2
@@ -188,12 +189,12 @@ def packed(sizes: DataFrame, sources: list[Source], rows: int) -> DataFrame:
     last = next((s.rank for s in sources if s.name is None), None)
     d = sizes.withColumn("rank", F.coalesce(ranks[F.col("source")], F.lit(last).cast("int"))).drop("source")
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("int"))
-    d = d.withColumn("row", F.row_number().over(Window.partitionBy("rank", "group", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size")))
+    d = d.withColumn("row", F.row_number().over(Window.partitionBy("rank", "group", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", *keys)))
     d = _running(d, ["rank", "group", "bucket"], [F.col("row")], "size", "in_bucket")
     per_bucket = sizes_by(d, ["rank", "group", "bucket"])
     per_group = _running(sizes_by(per_bucket, ["rank", "group"]), ["rank"], [F.col("group")], "size", "at_group").drop("size")
     offsets = _running(per_bucket, ["rank", "group"], [F.col("bucket")], "size", "at_bucket").drop("size").join(per_group, ["rank", "group"])
-    return d.join(offsets, ["rank", "group", "bucket"]).select("doc_id", "size", "rank", "bucket", "row", (F.col("in_bucket") + F.col("at_bucket") + F.col("at_group")).alias("start"))
+    return d.join(offsets, ["rank", "group", "bucket"]).select("doc_id", "size", "rank", "bucket", "row", *keys, (F.col("in_bucket") + F.col("at_bucket") + F.col("at_group")).alias("start"))
 
 
 def sizes_by(d: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,7 +216,7 @@ def survey(sizes: DataFrame) -> tuple[list[tuple[str | None, int]], int]:
     return [(r["source"], r["size"] or 0) for r in found], sum(r["n"] for r in found)
 
 
-def mix(docs: DataFrame, **names: str) -> tuple[DataFrame, DataFrame, list[Source]]:
+def mix(docs: DataFrame, **names) -> tuple[DataFrame, DataFrame, list[Source]]:
     """(pieces, slots, sources) of the mix over all rows: the pieces of (rank, block) fill each slot that draws it.
 
     Null sources form one source, ranked last; an empty table gives empty ones; equal rows are rows of their own.
@@ -259,20 +260,27 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A pass that takes all blocks of a row gives its text unchanged; else the taken stretches are joined by newlines.
     Columns are those of the input; rows without words or of which nothing is taken go; ``chars_col`` is counted anew.
-    Rows that share an id must be equal, or else be told apart by another id column.
+    Rows are told apart by all their columns, so null and shared ids do no harm; equal rows are rows of their own.
     """
-    parts, drawn, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    names, keys = docs.columns, ("__k0", "__k1")
+    own = _keyed(docs, text_col)
+    parts, drawn, _ = mix(own, id_col=id_col, text_col=text_col, source_col=source_col, keys=keys)
     found = parts.join(drawn.select("rank", "block", "pass").hint("merge"), ["rank", "block"])
-    spans = found.groupBy("doc_id", "rank", "bucket", "row", "size", "pass").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
-    names = docs.columns
-    own = docs.select(*[F.col(f"`{c}`") for c in names], docs[id_col].alias("__id"), docs[source_col].alias("__source"))
+    spans = found.groupBy(*keys, "rank", "bucket", "row", "size", "pass").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
     return _attach(own, spans, names, text_col, chars_col)
 
 
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds __k0 and __k1, 128 bits that only rows equal in all columns share."""
+    text = F.col(f"`{text_col}`")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    return docs.select("*", *[F.xxhash64(F.lit(i), rest, text, text.isNull()).alias(f"__k{i}") for i in range(2)])
+
+
 def _attach(own: DataFrame, spans: DataFrame, names: list[str], text_col: str, chars_col: str | None) -> DataFrame:
-    """Rows of the input, one for each id, with the stretches of each pass over it."""
-    passes = spans.select(F.col("doc_id").alias("__key"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
-    joined = own.dropDuplicates(["__id"]).join(passes, F.col("__id").eqNullSafe(F.col("__key")))
+    """Rows of the input, equal ones once, with the stretches of each pass over each of them."""
+    passes = spans.select("__k0", "__k1", F.col("size").alias("__size"), F.col("spans").alias("__spans"))
+    joined = own.dropDuplicates(["__k0", "__k1"]).join(passes, ["__k0", "__k1"])
     text = F.pandas_udf(lambda t, s: pd.Series([cut(x, [(y["first"], y["words"]) for y in z]) for x, z in zip(t, s, strict=True)]), "string")
     whole = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col("__size")
     # rows that a pass takes whole keep their text; only the others' goes to Python
