@@ -1,4 +1,4 @@
-"""Mixing, media, language, SimHash, personal data and quality against brute force, round trips and held-out rows."""
+"""Mixing, language, SimHash, personal data and quality against brute force, round trips and held-out rows."""
 
 import hashlib
 import re
@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from treeflow.llm import gif, langid, mixing, pii, quality, simhash
+from treeflow.llm import langid, mixing, pii, quality, simhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -61,50 +61,6 @@ def test_mixed_documents(docs_of, corpus):
     assert words == {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect() if r["taken"]}
 
 
-# --- media ---
-
-
-@pytest.mark.parametrize("compress", [False, True])
-def test_payloads(docs_of, corpus, compress):
-    rows = corpus[:30] + corpus[-10:]
-    for r in gif.digest(gif.store(docs_of(rows), compress=compress)).collect():
-        if r["doc_id"] in (None, 5003):
-            continue
-        raw = (dict((i, t) for i, t, _ in rows)[r["doc_id"]] or "").encode()
-        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        media = gif.encode(padded, compress=compress)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-    assert gif.digest(gif.store(docs_of([]))).collect() == []
-
-
-def test_frames_palettes_and_disposal(spark):
-    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
-
-    def image(x, y, w, h, samples, disposal, delay, transparent=None):
-        control = b"\x21\xf9\x04" + bytes([(disposal << 2) | (transparent is not None), delay, 0, transparent or 0, 0])
-        return control + b"\x2c" + x.to_bytes(2, "little") + y.to_bytes(2, "little") + w.to_bytes(2, "little") + h.to_bytes(2, "little") + b"\0\x08" + gif._blocks(gif.lzw_compress(bytes(samples)))
-
-    media = b"GIF89a" + b"\x02\0\x02\0" + bytes([0x81, 0, 0]) + palette + image(0, 0, 2, 2, [1, 1, 1, 1], 1, 5) + image(0, 0, 2, 1, [2, 0], 2, 7, 0) + image(1, 1, 1, 1, [3], 3, 9) + image(0, 1, 1, 1, [2], 1, 1) + b"\x3b"
-    f = gif.frames(media)
-    colours = [[tuple(p[:3]) if p[3] else None for row in x.rgba.tolist() for p in row] for x in f]
-    r, g, b = (255, 0, 0), (0, 255, 0), (0, 0, 255)
-    assert colours == [[r, r, r, r], [g, r, r, r], [None, None, r, b], [None, None, g, r]]
-    assert [(x.start, x.delay) for x in f] == [(0, 5), (5, 7), (12, 9), (21, 1)]
-    table = gif.frame_table(spark.createDataFrame([(1, bytearray(media)), (2, None)], "doc_id long, media binary")).collect()
-    assert len(table) == 4 and sum(table[0]["hist_red"]) == 4
-
-
-def test_lzw_streams():
-    rng = np.random.default_rng(1)
-    for n in (1, 254, 255, 5000, 60000):
-        for top in (2, 256):
-            s = rng.integers(0, top, n, dtype=np.uint8)
-            assert (gif.lzw_decode(gif.lzw_compress(s.tobytes()), 8, n) == s).all()
-            assert (gif.lzw_decode(gif.lzw_plain(s), 8, n) == s).all()
-    assert gif.lzw_decode(b"", 8, 3).tolist() == [0, 0, 0]
-
-
 # --- language ---
 
 
@@ -290,8 +246,3 @@ def test_viterbi_and_gradient():
     assert ll == pytest.approx(score(paths[37]) - np.logaddexp.reduce([score(p) for p in paths]))
     model.emit[1, 2] += 1e-5
     assert (model.gradient(f, y)[2] - ll) / 1e-5 == pytest.approx(emit[1, 2], abs=1e-3)
-
-
-def test_extra_columns_do_not_matter(docs_of):
-    assert {"h", "fp", "rank"} <= set(docs_of([(1, "a")]).columns)
-    assert docs_of([(1, "a")]).withColumn("text2", F.lit(1)).count() == 1

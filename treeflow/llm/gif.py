@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, batch, columns
+from .common import as_bytes, batch, columns, slices
 
 #: Samples in a row, and rows in a frame at most: longer payloads take several frames.
 WIDTH, FRAME_ROWS, DELAY = 64, 4096, 10
@@ -21,149 +21,115 @@ CLEAR, END = 256, 257
 
 @dataclass
 class Frame:
-    """One composed picture: RGBA samples and how long it shows, in hundredths of a second."""
+    """One composed picture: RGBA samples, how long and from when on it shows, in hundredths of a second, and the
+    box (x, y, width, height) that its image drew."""
 
     rgba: np.ndarray
     delay: int
     start: int
+    box: tuple[int, int, int, int]
 
 
 # --- LZW -------------------------------------------------------------------------------------------------------
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Codes of nine bits, least significant bit first: eight codes make nine bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    for j in range(9):
-        i = min(8 * j // 9, 7)
-        v = c[:, i] >> (8 * j - 9 * i)
-        if i + 1 < 8:
-            v = v | (c[:, i + 1] << (9 * (i + 1) - 8 * j))
-        out[:, j] = v & 255
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def lzw_plain(samples: np.ndarray) -> bytes:
-    """A valid 8-bit LZW stream of literals: a clear code before each 254 samples keeps codes at nine bits."""
-    n = len(samples)
-    groups = max(1, -(-n // 254))
-    codes = np.zeros((groups, 255), np.uint16)
-    codes[:, 0] = CLEAR
-    body = np.zeros(groups * 254, np.uint16)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(groups, 254)
-    return _pack9(np.append(codes.reshape(-1)[: groups + n], np.uint16(END)))
+def _widths(clear: int, count: int) -> np.ndarray:
+    """Bits of each of the first ``count`` codes after a clear code: one more whenever the table outgrows the width."""
+    out = np.full(count, 12, np.int64)
+    done = 0
+    for width in range(clear.bit_length(), 12):
+        stop = (1 << width) - clear - 1
+        out[done:stop] = width
+        done = stop
+    return out
+
+
+#: Codes unpacked at once; a table is full after fewer.
+_RUN = 4096
+_SCHEDULES = {size: _widths(1 << size, _RUN) for size in range(2, 9)}
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of varying widths, least significant bit first."""
+    bit = np.arange(12)
+    held = bit < widths[:, None]
+    return np.packbits(((codes[:, None] >> bit) & 1).astype(np.uint8)[held], bitorder="little").tobytes()
 
 
 def lzw_compress(samples: bytes) -> bytes:
-    """An LZW stream with a growing table: smaller, and much slower to make."""
-    out = bytearray()
-    acc = bits = 0
-    width, table, last = 9, {}, -1
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    put(CLEAR)
-    following = 258
+    """An 8-bit LZW stream with a growing table, cleared when it is full."""
+    runs, codes, table, following, last = [], [CLEAR], {}, CLEAR + 2, -1
     for s in samples:
         if last < 0:
             last = s
             continue
-        code = table.get((last, s))
+        key = last << 8 | s
+        code = table.get(key)
         if code is not None:
             last = code
             continue
-        put(last)
+        codes.append(last)
         if following < 4096:
-            table[last, s] = following
-            if following == 1 << width and width < 12:
-                width += 1
+            table[key] = following
             following += 1
         else:
-            put(CLEAR)
-            width, table, following = 9, {}, 258
+            codes.append(CLEAR)
+            runs.append(codes)
+            codes, table, following = [], {}, CLEAR + 2
         last = s
     if last >= 0:
-        put(last)
-        if following == 1 << width and width < 12:
-            width += 1
-    put(END)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literal(data: np.ndarray, wanted: int) -> np.ndarray | None:
-    """The samples of a stream of nine-bit literals with regular clear codes; None if the stream is anything else."""
-    total = -(-wanted // 254) + wanted + 1
-    if wanted < 1 or len(data) != -(-9 * total // 8):
-        return None
-    padded = np.zeros(-(-len(data) // 9) * 9 + 9, np.uint16)
-    padded[: len(data)] = data
-    p = padded.reshape(-1, 9)
-    codes = np.empty((len(p), 8), np.uint16)
-    for i in range(8):
-        at, shift = divmod(9 * i, 8)
-        codes[:, i] = ((p[:, at] >> shift) | (p[:, at + 1] << (8 - shift))) & 511
-    codes = codes.reshape(-1)[:total]
-    if codes[-1] != END:
-        return None
-    body = np.zeros(-(-wanted // 254) * 255, np.uint16)
-    body[: total - 1] = codes[:-1]
-    body = body.reshape(-1, 255)
-    if (body[:, 0] != CLEAR).any() or (body[:, 1:] > 255).any():
-        return None
-    return body[:, 1:].reshape(-1)[:wanted].astype(np.uint8)
+        codes.append(last)
+    runs.append([*codes, END])
+    # the first run opens with a clear code of its own, nine bits wide like any first code
+    widths = [_SCHEDULES[8][: len(x)] for x in runs]
+    widths[0] = np.concatenate([[9], _SCHEDULES[8][: len(runs[0]) - 1]])
+    return _packed(np.array([c for x in runs for c in x], np.int64), np.concatenate(widths))
 
 
 def lzw_decode(data: bytes, min_size: int, wanted: int) -> np.ndarray:
     """Samples of any GIF LZW stream; short or damaged streams give zeros for what is missing."""
-    view = np.frombuffer(data, np.uint8)
-    if min_size == 8 and (found := _literal(view, wanted)) is not None:
-        return found
+    if not 2 <= min_size <= 8:
+        return np.zeros(wanted, np.uint8)
     clear, end = 1 << min_size, (1 << min_size) + 1
+    schedule = _SCHEDULES[min_size]
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, prev = list(base), min_size + 1, None
-    out, have, acc, bits, pos = [], 0, 0, 0, 0
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    words4 = np.ndarray((len(data) + 1,), "<u4", padded.data, strides=(1,))  # the four bytes from each place on
+    table, size, prev, seen = list(base), clear + 2, None, 0
+    out, have, at, total = [], 0, 0, 8 * len(data)
     while have < wanted:
-        while bits < width and pos < len(data):
-            acc |= data[pos] << bits
-            bits += 8
-            pos += 1
-        if bits < width:
+        widths = schedule[seen : seen + _RUN] if seen < _RUN else np.full(_RUN, 12)
+        stops = at + np.cumsum(widths)
+        widths = widths[stops <= total]
+        if not len(widths):
             break
-        code = acc & ((1 << width) - 1)
-        acc >>= width
-        bits -= width
-        if code == clear:
-            table, width, prev = list(base), min_size + 1, None
-            continue
-        if code == end:
-            break
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and prev is not None:
-            word = prev + prev[:1]
+        stops = stops[: len(widths)]
+        starts = stops - widths
+        codes = (words4[starts >> 3] >> (starts & 7).astype(np.uint32)) & ((1 << widths) - 1)
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        mark = int(marks[0]) if len(marks) else -1
+        for code in (codes[:mark] if len(marks) else codes).tolist():
+            if code < size:
+                word = table[code]
+            elif code == size and prev is not None and size < 4096:
+                word = prev + prev[:1]
+            else:
+                mark, total = 0, 0  # damaged: nothing after this can be read
+                break
+            out.append(word)
+            have += len(word)
+            if prev is not None and size < 4096:
+                table.append(prev + word[:1])
+                size += 1
+            prev = word
+        if mark < 0:
+            at, seen = int(stops[-1]), seen + len(widths)
+        elif total and codes[mark] == clear:
+            at, seen = int(stops[mark]), 0
+            table, size, prev = list(base), clear + 2, None
         else:
             break
-        out.append(word)
-        have += len(word)
-        if prev is not None and len(table) < 4096:
-            table.append(prev + word[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        prev = word
     joined = np.frombuffer(b"".join(out)[:wanted], np.uint8)
     return np.concatenate([joined, np.zeros(wanted - len(joined), np.uint8)]) if len(joined) < wanted else joined
 
@@ -189,7 +155,7 @@ def _unblock(media: bytes, pos: int) -> tuple[bytes, int]:
     return b"".join(parts), pos + 1
 
 
-def encode(payload: bytes, *, compress: bool = False, delay: int = DELAY) -> bytes:
+def encode(payload: bytes, *, delay: int = DELAY) -> bytes:
     """A GIF whose samples, in order, are the payload's bytes, under a grey palette; the length is a multiple of 64."""
     if not payload or len(payload) % WIDTH:
         raise ValueError(f"the payload's length must be a positive multiple of {WIDTH}")
@@ -199,78 +165,95 @@ def encode(payload: bytes, *, compress: bool = False, delay: int = DELAY) -> byt
         part = payload[at * WIDTH : (at + FRAME_ROWS) * WIDTH]
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
-        out.append(_blocks(lzw_compress(part) if compress else lzw_plain(np.frombuffer(part, np.uint8))))
+        out.append(_blocks(lzw_compress(part)))
     return b"".join([*out, b"\x3b"])
 
 
-def _images(media: bytes):
-    """Each image of the file: its place, samples, palette, transparent index, disposal and delay."""
-    if media[:3] != b"GIF":
-        raise ValueError("not a GIF")
-    width, height, flags, back = struct.unpack("<HHBB", media[6:12])
-    pos, common = 13, None
+@dataclass
+class Image:
+    """One image of a file as stored: where it goes, its samples, and its graphic control."""
+
+    screen: tuple[int, int]
+    at: tuple[int, int]
+    samples: np.ndarray
+    palette: np.ndarray
+    transparent: int | None
+    disposal: int
+    delay: int
+
+
+_GREYS = np.frombuffer(_GREY, np.uint8).reshape(-1, 3)
+
+
+def _palette(media: bytes, flags: int, pos: int) -> tuple[np.ndarray, int]:
+    size = 3 << ((flags & 7) + 1)
+    return np.frombuffer(media[pos : pos + size].ljust(size, b"\0"), np.uint8).reshape(-1, 3), pos + size
+
+
+def images(media: bytes):
+    """Each image of the file. What is not a GIF has none; a file cut short ends with its last whole image header.
+
+    An image without a palette of its own takes the file's; without that, samples are shades of grey.
+    """
+    if media[:3] != b"GIF" or len(media) < 13:
+        return
+    width, height, flags = struct.unpack("<HHB", media[6:11])
+    pos, common = 13, _GREYS
     if flags & 0x80:
-        size = 3 << ((flags & 7) + 1)
-        common, pos = np.frombuffer(media, np.uint8, size, pos).reshape(-1, 3), pos + size
+        common, pos = _palette(media, flags, pos)
     disposal = delay = 0
     transparent = None
     while pos < len(media) and media[pos] != 0x3B:
         kind = media[pos]
         if kind == 0x21:
-            if media[pos + 1] == 0xF9:
+            if media[pos + 1 : pos + 2] == b"\xf9" and len(media) >= pos + 7:
                 f, delay, index = struct.unpack("<BHB", media[pos + 3 : pos + 7])
                 disposal, transparent = (f >> 2) & 7, index if f & 1 else None
             _, pos = _unblock(media, pos + 2)
-        elif kind == 0x2C:
+        elif kind == 0x2C and len(media) > pos + 10:
             x, y, w, h, f = struct.unpack("<HHHHB", media[pos + 1 : pos + 10])
             pos, palette = pos + 10, common
             if f & 0x80:
-                size = 3 << ((f & 7) + 1)
-                palette, pos = np.frombuffer(media, np.uint8, size, pos).reshape(-1, 3), pos + size
+                palette, pos = _palette(media, f, pos)
             data, after = _unblock(media, pos + 1)
-            samples = lzw_decode(data, media[pos], w * h).reshape(h, w)
+            samples = lzw_decode(data, media[pos] if pos < len(media) else 0, w * h).reshape(h, w)
             if f & 0x40:
                 order = np.concatenate([np.arange(s, h, t) for s, t in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 straight = np.empty_like(samples)
                 straight[order] = samples
                 samples = straight
-            yield (width, height), (x, y), samples, palette, transparent, disposal, delay
+            yield Image((width, height), (x, y), samples, palette, transparent, disposal, delay)
             pos, disposal, delay, transparent = after, 0, 0, None
         else:
             break
 
 
-def samples(media: bytes) -> bytes:
-    """The stored bytes: for each image, its samples through the grey palette."""
-    grey = np.arange(256, dtype=np.uint8)
-    out = []
-    for _, _, s, palette, *_ in _images(media):
-        red = palette[:, 0]
-        out.append(s.tobytes() if len(red) == 256 and (red == grey).all() else red[s].tobytes())
-    return b"".join(out)
-
-
-def frames(media: bytes) -> list[Frame]:
-    """The composed frames: palettes applied, transparent samples left as they were, each disposal rule obeyed."""
-    out, canvas, clock = [], None, 0
-    for (width, height), (x, y), s, palette, transparent, disposal, delay in _images(media):
+def frames(media: bytes):
+    """The composed frames, one by one: palettes applied, transparent samples left as they were, disposal rules obeyed."""
+    canvas, clock = None, 0
+    for m in images(media):
+        width, height = m.screen
+        x, y = m.at
         if canvas is None:
             canvas = np.zeros((height, width, 4), np.uint8)
-        before = canvas.copy() if disposal == 3 else None
-        h, w = max(0, min(s.shape[0], height - y)), max(0, min(s.shape[1], width - x))
-        part = s[:h, :w]
-        colours = np.zeros((256, 3), np.uint8) if palette is None else np.concatenate([palette, np.zeros((256 - len(palette), 3), np.uint8)])
-        drawn = np.concatenate([colours[part], np.full((h, w, 1), 255, np.uint8)], axis=2)
+        before = canvas.copy() if m.disposal == 3 else None
+        h, w = max(0, min(m.samples.shape[0], height - y)), max(0, min(m.samples.shape[1], width - x))
+        part = m.samples[:h, :w]
+        colours = np.zeros((256, 4), np.uint8)
+        colours[: len(m.palette), :3] = m.palette
+        colours[:, 3] = 255
         area = canvas[y : y + h, x : x + w]
-        shown = np.ones((h, w), bool) if transparent is None else part != transparent
-        area[shown] = drawn[shown]
-        out.append(Frame(canvas.copy(), delay, clock))
-        clock += delay
-        if disposal == 2:
+        if m.transparent is None:
+            area[:] = colours[part]
+        else:
+            shown = part != m.transparent
+            area[shown] = colours[part][shown]
+        yield Frame(canvas.copy(), m.delay, clock, (x, y, w, h))
+        clock += m.delay
+        if m.disposal == 2:
             area[:] = 0
-        elif disposal == 3:
+        elif m.disposal == 3:
             canvas = before
-    return out
 
 
 def histogram(values: np.ndarray, bins: int = 8) -> list[int]:
@@ -289,7 +272,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", compress: bool = False) -> DataFrame:
+def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's UTF-8 bytes, with zeros up to a positive multiple of 64, as a GIF: doc_id, n_bytes, media.
 
     A null text counts as empty; null ids and equal rows stay as they are; an empty table gives an empty one.
@@ -298,9 +281,9 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
     def run(batches):
         for b in batches:
             texts = [x or b"" for x in as_bytes(b.column(1))]
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
-                media = [encode(x.ljust(max(WIDTH, -(-len(x) // WIDTH) * WIDTH), b"\0"), compress=compress) for x in part]
+            for i, j in slices(len(texts), [len(x) for x in texts], 4_000_000):
+                part = texts[i:j]
+                media = [encode(x.ljust(max(WIDTH, -(-len(x) // WIDTH) * WIDTH), b"\0")) for x in part]
                 yield batch(_STORED, b.column(0).slice(i, len(part)), [len(x) for x in part], media)
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, _ddl(_STORED))
@@ -309,7 +292,8 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", co
 def frame_table(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each composed frame of each GIF: its time, RGBA samples and colour histograms of eight bins.
 
-    A null medium has no frames; a column that is not a GIF is an error.
+    A medium that is null, empty or not a GIF has no frames; of a damaged one, what is missing is the first colour, and
+    a file cut short keeps the frames before the cut. Null ids and equal rows stay as they are.
     """
 
     def run(batches):
@@ -322,10 +306,27 @@ def frame_table(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "
     return columns(stored, doc_id=id_col, media=media_col).mapInArrow(run, _ddl(_FRAMES))
 
 
+def described(media: bytes) -> tuple[bytes, str]:
+    """The payload that a stored GIF shows, and its feature: both read from the composed frames.
+
+    The payload is what each frame's image drew, in its red samples. The feature names the screen, the number of
+    frames, the time they take, and the histograms of eight bins of each colour, summed over the frames.
+    """
+    parts, bins, count, clock, size = [], np.zeros((3, 8), np.int64), 0, 0, (0, 0)
+    for f in frames(media):
+        x, y, w, h = f.box
+        parts.append(f.rgba[y : y + h, x : x + w, 0].tobytes())
+        bins += [histogram(f.rgba[:, :, c]) for c in range(3)]
+        count, clock, size = count + 1, f.start + f.delay, f.rgba.shape[1::-1]
+    said = ";".join(f"{c}={','.join(map(str, x))}" for c, x in zip("rgb", bins.tolist(), strict=True))
+    return b"".join(parts), f"{size[0]}x{size[1]};frames={count};cs={clock};{said}"
+
+
 def digest(stored: DataFrame) -> DataFrame:
-    """Decode what ``store`` made and describe payload and medium; equal payloads have equal values.
+    """Decode what ``store`` made, compose its frames, and describe payload and medium.
 
-    feature: width x rows x frames | the payload's histogram of eight grey bins.
+    Equal payloads have equal values. A null medium, or one without frames, has an empty payload; null ids and equal
+    rows stay as they are; an empty table gives an empty one.
     """
 
     def run(batches):
@@ -333,10 +334,9 @@ def digest(stored: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for media in b.column(2).to_pylist():
-                payload = samples(media)
-                n = len(payload) // WIDTH
-                bins = histogram(np.frombuffer(payload, np.uint8))
-                rows.append((len(payload), sha(payload), zlib.crc32(payload[-WIDTH:]), len(media), sha(media), f"{WIDTH}x{n}x{-(-n // FRAME_ROWS)}|" + ",".join(map(str, bins))))
+                media = media or b""
+                payload, feature = described(media)
+                rows.append((len(payload), sha(payload), zlib.crc32(payload[-WIDTH:]), len(media), sha(media), feature))
             yield batch(_DIGEST, b.column(0), b.column(1), *[list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 6)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, _ddl(_DIGEST))
