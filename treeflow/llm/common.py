@@ -24,6 +24,18 @@ def columns(df: DataFrame, **named: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in named.items()])
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns beside the input's own: none of them clashes, in any case of letters."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
@@ -104,4 +116,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["F", "SPACES", "as_bytes", "batch", "columns", "documents", "mix64", "partitions", "scratch", "scratch_path", "shared_dir", "slices"]
+__all__ = ["F", "SPACES", "as_bytes", "batch", "columns", "documents", "mix64", "partitions", "scratch", "scratch_path", "shared_dir", "slices", "unused"]
