@@ -1,27 +1,22 @@
-"""Suffix arrays by induced sorting, in array sweeps, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: An alphabet with more symbols than this share of the text is sorted by doubling names instead of by bucket sweeps.
-SWEEP_SHARE, SWEEP_MOST = 64, 4096
+#: Buckets that hold at least so many suffixes on average are swept whole, as arrays; smaller ones suffix by suffix.
+SWEPT = 64
 
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it (S), False where it is larger (L); the last is S."""
     n = len(text)
     out = np.ones(n, bool)
-    if n < 2:
-        return out
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    if len(differs):
-        place = np.searchsorted(differs, np.arange(n - 1))
-        inside = place < len(differs)
-        at = differs[np.minimum(place, len(differs) - 1)]
-        out[:-1] = np.where(inside, text[at] < text[at + 1], False)
-    else:
-        out[:-1] = False
+    if n > 1:
+        # a run of one symbol is as its last suffix is, so its type comes from the next place where symbols change
+        change = np.where(text[:-1] != text[1:], np.arange(n - 1, dtype=text.dtype), n - 1)
+        at = np.minimum.accumulate(change[::-1])[::-1]
+        out[:-1] = (at < n - 1) & (text[np.minimum(at, n - 2)] < text[np.minimum(at, n - 2) + 1])
     return out
 
 
@@ -41,16 +36,20 @@ def _append(sa: np.ndarray, pointer: np.ndarray, where: np.ndarray, chars: np.nd
     pointer[c[first]] += step * size
 
 
-def _induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+def _buckets(text: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.bincount(text, minlength=sigma)
+    ends = np.cumsum(counts)
+    return counts, ends - counts, ends
+
+
+def _induce_swept(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
     """The suffix array that sorted leftmost-smaller suffixes induce: L suffixes forwards, then S suffixes backwards.
 
     A bucket is swept as a whole. Suffixes that induce others in their own bucket (runs of one symbol) take one wave
     for each symbol of the run.
     """
     n = len(text)
-    counts = np.bincount(text, minlength=sigma)
-    ends = np.cumsum(counts)
-    heads = ends - counts
+    counts, heads, ends = _buckets(text, sigma)
     sa = np.full(n, -1, text.dtype)
     seed_chars = text[seeds]
     by_char = np.argsort(seed_chars, kind="stable")
@@ -102,38 +101,52 @@ def _induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int)
     return sa
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a sequence of names by their first ``depth`` names, doubling each round."""
-    n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        if k < n:
-            after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank[order] = fresh
-        k *= 2
-        if k >= depth or fresh[-1] == n - 1:
-            return order
-
-
-def suffix_array(text: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
+def _induce_each(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """What ``_induce_swept`` makes, one suffix at a time: for alphabets whose buckets are too small to sweep."""
+    _, heads, ends = _buckets(text, sigma)
+    t, small = text.tolist(), types.tolist()
+    out = [-1] * len(t)
+    tail = ends.tolist()
+    for j in reversed(seeds.tolist()):
+        c = t[j]
+        tail[c] = p = tail[c] - 1
+        out[p] = j
+    head = heads.tolist()
+    for j in out:  # grows ahead of the place that is read
+        if j > 0:
+            j -= 1
+            if not small[j]:
+                c = t[j]
+                out[head[c]] = j
+                head[c] += 1
+    tail = ends.tolist()
+    for j in reversed(out):
+        if j > 0:
+            j -= 1
+            if small[j]:
+                c = t[j]
+                tail[c] = p = tail[c] - 1
+                out[p] = j
+    return np.array(out, text.dtype)
+
+
+def _induce(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    return (_induce_swept if len(text) >= SWEPT * sigma else _induce_each)(text, types, seeds, sigma)
+
+
+def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     """Places of the suffixes of ``text`` in order; its last symbol must be its smallest and occur once.
 
-    With ``depth``, suffixes that agree on that many symbols may come in any order.
+    Leftmost-smaller substrings are sorted by inducing from their places alone, and named; where names repeat, the
+    sequence of names is sorted the same way, by recursion. The sorted leftmost-smaller suffixes induce all others.
     """
     n = len(text)
     if n <= 2:
         return np.argsort(text, kind="stable")
     text = np.ascontiguousarray(text, dtype=np.int32 if n < 1 << 31 else np.int64)
-    depth = n if depth is None else depth
     types = suffix_types(text)
     lms = leftmost_smaller(types).astype(text.dtype)
     if len(lms) > 1:
-        # sort leftmost-smaller substrings by inducing from their places alone, and name them
         sa = _induce(text, types, lms, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
@@ -145,13 +158,7 @@ def suffix_array(text: np.ndarray, sigma: int, depth: int | None = None) -> np.n
         name[ordered] = np.cumsum(new)
         reduced = name[lms]
         names = int(reduced.max()) + 1
-        if names == len(lms):
-            order = np.argsort(reduced)
-        elif names <= SWEEP_MOST and names * SWEEP_SHARE <= len(lms):
-            order = suffix_array(reduced, names, depth)
-        else:
-            order = _doubled(reduced, depth)
-        lms = lms[order]
+        lms = lms[np.argsort(reduced) if names == len(lms) else suffix_array(reduced, names)]
     return _induce(text, types, lms, sigma)
 
 
@@ -171,29 +178,46 @@ def _differ(text: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_prefixes(raw: np.ndarray, sa: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """For each place, whether its suffix shares ``width`` bytes with a neighbour in the suffix array.
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """In text order: the length of the prefix that each suffix shares with the one before it in the suffix array, up
+    to ``most`` symbols, and the place of that suffix (-1 for the first).
 
-    Common prefixes with the neighbour before are taken in text order (permuted), eight bytes at a time, only between
-    places marked in ``starts``, and only for as long as bytes agree.
+    A suffix shares at least as much as the one a step earlier in the text, less the step. So every 64th place is
+    compared first, then the places half way between those known, each from the length its neighbour leaves it; four
+    symbols (of 16 bits) are compared at once.
     """
     n = len(sa)
-    before = np.full(n, -1, sa.dtype)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(starts)
-    at = at[before[at] >= 0]
-    at = at[starts[before[at]]]
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eights = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,))
-    k = 0
-    while k + 8 <= width and len(at):
-        at = at[eights[at + k] == eights[before[at] + k]]
-        k += 8
-    while k < width and len(at):
-        at = at[raw[at + k] == raw[before[at] + k]]
-        k += 1
-    out = np.zeros(n, bool)
+    padded = np.zeros(n + most + 8, np.uint16)
+    padded[:n] = text
+    fours = np.ndarray((n + most + 4,), "<u8", padded.data, strides=(2,))
+    out = np.zeros(n, np.int32)
+    step = 64
+    todo = np.arange(0, n, step)
+    while True:
+        known = np.maximum(0, out[todo - step] - step) if step < 64 else np.zeros(len(todo), np.int32)
+        left = before[todo] >= 0
+        at, k = todo[left], known[left].astype(np.int64)
+        while len(at):
+            unlike = fours[at + k] ^ fours[before[at] + k]
+            more = (unlike == 0) & (k + 4 < most)
+            done = ~more
+            u = unlike[done]
+            same = np.where(u == 0, 4, np.where(u & np.uint64(0xFFFF) != 0, 0, np.where(u & np.uint64(0xFFFFFFFF) != 0, 1, np.where(u & np.uint64(0xFFFFFFFFFFFF) != 0, 2, 3))))
+            out[at[done]] = np.minimum(k[done] + same, most)
+            at, k = at[more], k[more] + 4
+        if step == 1:
+            return out, before
+        step //= 2
+        todo = np.arange(step, n, 2 * step)
+
+
+def repeated_prefixes(text: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
+    """For each place, whether its suffix shares ``width`` symbols with a neighbour in the suffix array."""
+    lengths, before = permuted_prefixes(text, sa, width)
+    at = np.flatnonzero(lengths >= width)
+    out = np.zeros(len(sa), bool)
     out[at] = True
     out[before[at]] = True
     return out
-
