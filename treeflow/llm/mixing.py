@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns, mix64, partitions, scratch
+from .common import columns, mix64, partitions, scratch, unused
 
-#: Words in a block and blocks in an output shard.
-BLOCK_WORDS, SHARD_BLOCKS = 64, 1024
+#: Words in a block, blocks in an output shard, and slots that are drawn together, at most.
+BLOCK_WORDS, SHARD_BLOCKS, GROUP_SLOTS = 64, 1024, 1 << 28
 #: Weights by rank of the source, repeating; no source is taken more often than this.
 WEIGHTS, MOST_REPEATS = (1, 2, 3), 3
 SEED = 20240607
@@ -74,40 +74,58 @@ def _generator(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([SEED, *key])))
 
 
-def shard_counts(slots: list[int], shards: int, shard: int, shard_blocks: int = SHARD_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """How many blocks of each source a shard gets, and how many the shards before it got.
+@dataclass(frozen=True)
+class Shards:
+    """The output's shards, in groups that are drawn each on its own.
 
-    The counts are multinomial draws, given that all shards together take exactly ``slots`` of each source. That law is
-    multivariate hypergeometric and splits in halves, so one shard's counts take a logarithmic number of draws, each
-    with a key of its own: every shard can be made alone, and again.
+    Group g of n gets the slots from slots * g // n on of each source, so a group holds every source in its proportion
+    and at most GROUP_SLOTS slots, whatever the size of the mix. Within a group, each shard's counts are multinomial
+    draws, given that all its shards together take exactly the group's slots.
     """
-    total = int(sum(slots))
-    here, before = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
-    low, high = 0, shards
-    while high - low > 1:
-        mid = (low + high) // 2
-        left = min(total, mid * shard_blocks) - min(total, low * shard_blocks)
-        draw = _split(here, left, _generator(low, high))
-        if shard < mid:
-            here, high = draw, mid
-        else:
-            before, here, low = before + draw, here - draw, mid
-    return here, before
+
+    slots: tuple[int, ...]
+    shard_blocks: int = SHARD_BLOCKS
+    group_slots: int = GROUP_SLOTS
+
+    @property
+    def groups(self) -> int:
+        return -(-sum(self.slots) // max(1, self.group_slots - len(self.slots)))
+
+    def before(self, group: int) -> np.ndarray:
+        """Slots of each source in the groups before this one."""
+        return np.array([s * group // max(1, self.groups) for s in self.slots], np.int64)
+
+    def sizes(self) -> list[int]:
+        """Shards in each group."""
+        return [-(-int((self.before(g + 1) - self.before(g)).sum()) // self.shard_blocks) for g in range(self.groups)]
+
+    def counts(self, group: int, shards: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many blocks of each source a shard of a group gets, and how many all the shards before it got.
+
+        The law of the counts is multivariate hypergeometric and splits in halves, so one shard's counts take a
+        logarithmic number of draws, each with a key of its own: every shard can be made alone, and again.
+        """
+        before = self.before(group)
+        here = self.before(group + 1) - before
+        total, low, high = int(here.sum()), 0, shards
+        while high - low > 1:
+            mid = (low + high) // 2
+            left = min(total, mid * self.shard_blocks) - min(total, low * self.shard_blocks)
+            draw = _split(here, left, _generator(group, low, high))
+            if shard < mid:
+                here, high = draw, mid
+            else:
+                before, here, low = before + draw, here - draw, mid
+        return here, before
 
 
 def _split(have: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """A multivariate hypergeometric draw, source by source; huge populations by the normal limit, within bounds."""
+    """A multivariate hypergeometric draw, source by source."""
     out, rest, left = np.zeros(len(have), np.int64), int(have.sum()), int(take)
     for i, n in enumerate(have.tolist()):
         rest -= n
         if n and left:
-            low, high = max(0, left - rest), min(n, left)
-            if n + rest < 1_000_000_000:
-                k = int(rng.hypergeometric(n, rest, left)) if rest else left
-            else:
-                p, all_ = n / (n + rest), n + rest
-                k = round(rng.normal(left * p, (left * p * (1 - p) * (all_ - left) / (all_ - 1)) ** 0.5))
-            out[i] = min(high, max(low, k))
+            out[i] = int(rng.hypergeometric(n, rest, left)) if rest else left
             left -= int(out[i])
     return out
 
@@ -135,13 +153,16 @@ def slots(spark, sources: list[Source], *, shard_blocks: int = SHARD_BLOCKS) ->
 
     A shard's slots are in a pseudorandom order of their own; pass counts the earlier passes over the source.
     """
-    counts, blocks = [s.slots for s in sources], [s.blocks for s in sources]
-    shards = -(-sum(counts) // shard_blocks)
+    plan, blocks = Shards(tuple(s.slots for s in sources), shard_blocks), [s.blocks for s in sources]
+    sizes = plan.sizes()
+    stops = np.cumsum(sizes, dtype=np.int64)
+    shards = int(stops[-1]) if sizes else 0
 
     def run(frames):
         for frame in frames:
             for shard in frame["id"].tolist():
-                here, before = shard_counts(counts, shards, shard, shard_blocks)
+                group = int(np.searchsorted(stops, shard, "right"))
+                here, before = plan.counts(group, sizes[group], shard - int(stops[group]) + sizes[group])
                 rank = np.repeat(np.arange(len(here)), here)
                 place = np.empty(len(rank), np.int64)
                 passes = np.empty(len(rank), np.int64)
@@ -185,9 +206,8 @@ def packed(sizes: DataFrame, sources: list[Source], rows: int) -> DataFrame:
     n = 1
     while n * BUCKET_ROWS < rows:
         n *= 2
-    ranks = F.create_map(*[x for s in sources if s.name is not None for x in (F.lit(s.name), F.lit(s.rank))]) if any(s.name is not None for s in sources) else F.lit(None).cast("map<string,int>")
-    last = next((s.rank for s in sources if s.name is None), None)
-    d = sizes.withColumn("rank", F.coalesce(ranks[F.col("source")], F.lit(last).cast("int"))).drop("source")
+    ranks = _table(sizes, sources, "name string, rank int")
+    d = sizes.join(ranks, sizes["source"].eqNullSafe(ranks["name"])).drop("source", "name")
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("int"))
     d = d.withColumn("row", F.row_number().over(Window.partitionBy("rank", "group", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", *keys)))
     d = _running(d, ["rank", "group", "bucket"], [F.col("row")], "size", "in_bucket")
@@ -227,18 +247,24 @@ def mix(docs: DataFrame, **names) -> tuple[DataFrame, DataFrame, list[Source]]:
     return pieces(packed(sizes, sources, rows)), slots(docs.sparkSession, sources), sources
 
 
-def _by_rank(sources: list[Source], value: str, kind: str) -> Column:
-    values = F.array(*[F.lit(getattr(s, value)).cast(kind) for s in sources]) if sources else F.array().cast(f"array<{kind}>")
-    return F.get(values, F.col("rank"))
+def _table(df: DataFrame, sources: list[Source], schema: str) -> DataFrame:
+    """The sources' fields as a table: one row for each source, joined as its size allows."""
+    fields = [x.split()[0] for x in schema.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(getattr(s, f) for f in fields) for s in sources], schema)
 
 
 def taken(docs: DataFrame, **names: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): what the mix takes of each row, repeats counted."""
+    """(doc_id, size, source_size, target, taken): what the mix takes of each row, repeats counted.
+
+    A null text has size 0 and gives nothing; null sources form one source, ranked last; rows with null or equal ids
+    stay rows of their own; an empty table gives an empty one. The driver and each task hold one entry for each source.
+    """
     parts, drawn, sources = mix(docs, **names)
     repeats = drawn.groupBy("rank", "block").agg(F.count("*").alias("n"))
     joined = parts.join(repeats.hint("merge"), ["rank", "block"], "left")  # a plan's guess at drawn rows is far too low
     rows = joined.groupBy("doc_id", "rank", "bucket", "row", "size").agg(F.sum(F.col("words") * F.coalesce("n", F.lit(0))).alias("taken"))
-    return rows.select("doc_id", "size", _by_rank(sources, "size", "long").alias("source_size"), _by_rank(sources, "target", "double").alias("target"), "taken")
+    totals = _table(docs, sources, "rank int, size long, target double").withColumnRenamed("size", "source_size")
+    return rows.join(totals, "rank").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -262,37 +288,38 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Columns are those of the input; rows without words or of which nothing is taken go; ``chars_col`` is counted anew.
     Rows are told apart by all their columns, so null and shared ids do no harm; equal rows are rows of their own.
     """
-    names, keys = docs.columns, ("__k0", "__k1")
-    own = _keyed(docs, text_col)
+    names, keys = docs.columns, tuple(unused(docs, "k0", "k1"))
+    own = _keyed(docs, text_col, keys)
     parts, drawn, _ = mix(own, id_col=id_col, text_col=text_col, source_col=source_col, keys=keys)
     found = parts.join(drawn.select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     spans = found.groupBy(*keys, "rank", "bucket", "row", "size", "pass").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
-    return _attach(own, spans, names, text_col, chars_col)
+    return _attach(own, spans, names, keys, text_col, chars_col)
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds __k0 and __k1, 128 bits that only rows equal in all columns share."""
+def _keyed(docs: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:
+    """Adds the keys, 128 bits that only rows equal in all columns share."""
     text = F.col(f"`{text_col}`")
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    return docs.select("*", *[F.xxhash64(F.lit(i), rest, text, text.isNull()).alias(f"__k{i}") for i in range(2)])
+    return docs.select("*", *[F.xxhash64(F.lit(i), rest, text, text.isNull()).alias(k) for i, k in enumerate(keys)])
 
 
-def _attach(own: DataFrame, spans: DataFrame, names: list[str], text_col: str, chars_col: str | None) -> DataFrame:
+def _attach(own: DataFrame, spans: DataFrame, names: list[str], keys: tuple[str, ...], text_col: str, chars_col: str | None) -> DataFrame:
     """Rows of the input, equal ones once, with the stretches of each pass over each of them."""
-    passes = spans.select("__k0", "__k1", F.col("size").alias("__size"), F.col("spans").alias("__spans"))
-    joined = own.dropDuplicates(["__k0", "__k1"]).join(passes, ["__k0", "__k1"])
+    size, stretches, made = unused(own, "size", "spans", "text")
+    passes = spans.select(*keys, F.col("size").alias(size), F.col("spans").alias(stretches))
+    joined = own.dropDuplicates(list(keys)).join(passes, list(keys))
     text = F.pandas_udf(lambda t, s: pd.Series([cut(x, [(y["first"], y["words"]) for y in z]) for x, z in zip(t, s, strict=True)]), "string")
-    whole = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col("__size")
+    whole = F.aggregate(stretches, F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col(size)
     # rows that a pass takes whole keep their text; only the others' goes to Python
     none = F.array().cast("array<struct<first:bigint,words:bigint>>")
-    parted = text(F.when(~whole, F.col(f"`{text_col}`")).otherwise(F.lit("")), F.when(~whole, F.col("__spans")).otherwise(none))
-    new = joined.withColumn("__text", F.when(whole, F.col(f"`{text_col}`")).otherwise(parted))
+    parted = text(F.when(~whole, F.col(f"`{text_col}`")).otherwise(F.lit("")), F.when(~whole, F.col(stretches)).otherwise(none))
+    new = joined.withColumn(made, F.when(whole, F.col(f"`{text_col}`")).otherwise(parted))
     out = []
     for c in names:
         if c == text_col:
-            out.append(F.col("__text").alias(c))
+            out.append(F.col(made).alias(c))
         elif c == chars_col:
-            out.append(F.length("__text").cast(own.schema[c].dataType).alias(c))
+            out.append(F.length(made).cast(own.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return new.select(*out)
