@@ -42,11 +42,36 @@ def test_mix_parts():
     assert mixing.targets([0, 0]) == [0, 0]
     for n in (1, 2, 7, 64, 1001):
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
-    slots, shards = [500, 1500, 77], 9
-    each = [mixing.shard_counts(slots, shards, s, 256)[0] for s in range(shards)]
-    assert np.sum(each, axis=0).tolist() == slots and all(x.sum() == 256 for x in each[:-1])
-    befores = [mixing.shard_counts(slots, shards, s, 256)[1] for s in range(shards)]
-    assert (np.cumsum(each, axis=0)[:-1] == np.array(befores[1:])).all()
+    for group_slots, groups in ((1 << 28, 1), (500, 5)):
+        plan = mixing.Shards((500, 1500, 77), 256, group_slots)
+        sizes = plan.sizes()
+        assert len(sizes) == groups
+        each = [plan.counts(g, n, s) for g, n in enumerate(sizes) for s in range(n)]
+        assert np.sum([x for x, _ in each], axis=0).tolist() == [500, 1500, 77]
+        befores = np.array([x for _, x in each])
+        assert (np.cumsum([x for x, _ in each], axis=0)[:-1] == befores[1:]).all() and not befores[0].any()
+    # far more slots than one draw can hold
+    huge = mixing.Shards((10**15, 3 * 10**14, 7))
+    assert huge.counts(huge.groups - 1, 300_000, 5)[0].sum() == mixing.SHARD_BLOCKS
+
+
+def test_taken_words_follow_the_slots(docs_of, corpus):
+    """Each row's words again from the slots that were drawn and where its words lie in its source's stream."""
+    docs = docs_of(corpus)
+    parts, drawn, sources = mixing.mix(docs)
+    times = {}
+    for r in drawn.collect():
+        times[r["rank"], r["block"]] = times.get((r["rank"], r["block"]), 0) + 1
+    assert {s.rank: sum(n for (r, _), n in times.items() if r == s.rank) for s in sources} == {s.rank: s.slots for s in sources}
+    rows = {(r["rank"], r["start"], r["size"], r["doc_id"]) for r in parts.collect() if r["size"]}
+    for s in sources:  # the rows of a source lie end to end
+        at = 0
+        for _, start, size, _ in sorted(x for x in rows if x[0] == s.rank):
+            assert start == at
+            at += size
+        assert at == s.size
+    want = sorted((str(i), size, sum(times.get((rank, w // mixing.BLOCK_WORDS), 0) for w in range(start, start + size))) for rank, start, size, i in rows)
+    assert want == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.taken(docs).collect() if r["size"])
 
 
 def test_mixed_documents(docs_of, corpus):
@@ -273,6 +298,31 @@ def test_quality_keeps_clean_documents(spark):
     assert sum(r["kept"] for r in got if r["quality"] == 0) <= 0.1 * sum(r["quality"] == 0 for r in got)
 
 
+def test_neighbours_decide_doubtful_lines(docs_of):
+    """A line that no threshold calls boilerplate is boilerplate among boilerplate, and content among content."""
+    model = quality.fit(docs_of([]))
+    junk, prose = b"### menu ### home ### about ###", b"It was a long walk along the river, and nobody said a word."
+    for doubtful in (b"Home About", b"Read more", b"MORE about US", b"about 2024", b"page 12 of 40", b"LOGIN here"):
+        among = [model.viterbi(quality.line_features([x, x, x, doubtful, x, x, x]))[3] for x in (junk, prose)]
+        if among == [0, 1]:
+            assert quality.seed_labels(quality.line_features([junk, doubtful]))[1] == 1
+            break
+    else:
+        raise AssertionError("neighbours never decide")
+
+
+def test_training_lines_come_from_anywhere():
+    f = np.arange(1000 * quality.N_FEATURES, dtype=float).reshape(1000, -1)
+    starts = {int(quality._stretch(f, h)[0, 0]) // quality.N_FEATURES for h in range(0, 1 << 30, 7919 * 1001)}
+    assert min(starts) < 100 and max(starts) > 700 and len(quality._stretch(f, 5)) == quality.SAMPLE_LINES
+    assert len(quality._stretch(f[:50], 77)) == 50
+
+
+def test_repeated_words_of_very_repetitive_texts():
+    words = [b"a", b"b"] * 300_000 + [b"c"]
+    assert quality.repeated_words(words) == 600_000
+
+
 def test_viterbi_and_gradient():
     rng = np.random.default_rng(3)
     model = quality.LineModel(rng.normal(size=(2, quality.N_FEATURES)), rng.normal(size=(2, 2)))

@@ -17,7 +17,8 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 CONTENT_SHARE = 0.5
 #: Documents whose lines train the model, at most in expectation; in all, at most one and a half times as many.
 SAMPLE_ROWS = 400
-#: Lines of one document that train the model, at most; labelling always covers all lines.
+#: Consecutive lines of one document that train the model, at most, from a place that the text's hash picks; labelling
+#: always covers all lines.
 SAMPLE_LINES = 200
 N_FEATURES = 9
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
@@ -43,17 +44,40 @@ def repeated_words(words: list[bytes]) -> int:
     same = h[order][1:] == h[order][:-1]
     if not same.any():
         return 0
-    twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    exact: dict[tuple, list[int]] = {}  # candidates are compared word by word
-    for i in np.flatnonzero(twice).tolist():
-        exact.setdefault(tuple(words[i : i + WINDOW]), []).append(i)
-    cover = np.zeros(len(words) + 1, np.int64)
-    for at in exact.values():
-        if len(at) > 1:
-            np.add.at(cover, at, 1)
-            np.add.at(cover, np.asarray(at) + WINDOW, -1)
+    # of windows with one hash, each is compared with the one before it, word by word; ids of words keep that cheap
+    exact = same & _alike(words, order[1:], order[:-1], same)
+    if (exact != same).any():  # two hashes met by chance: compare all of them
+        return _covered(len(words), _by_words(words, np.flatnonzero(_either(order, same, n))))
+    return _covered(len(words), np.flatnonzero(_either(order, same, n)))
+
+
+def _either(order: np.ndarray, same: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _alike(words: list[bytes], a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether windows at a and b hold the same words, where asked."""
+    out = np.zeros(len(a), bool)
+    at = np.flatnonzero(asked)
+    out[at] = [words[i : i + WINDOW] == words[j : j + WINDOW] for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+    return out
+
+
+def _by_words(words: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Those windows of at whose words another of them holds."""
+    places: dict[tuple, list[int]] = {}
+    for i in at.tolist():
+        places.setdefault(tuple(words[i : i + WINDOW]), []).append(i)
+    return np.array([i for x in places.values() if len(x) > 1 for i in x], np.int64)
+
+
+def _covered(n: int, at: np.ndarray) -> int:
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + WINDOW, -1)
     return int((np.cumsum(cover) > 0).sum())
 
 
@@ -164,10 +188,17 @@ _PRIMER = [
 ]
 
 
+def _stretch(f: np.ndarray, h: int) -> np.ndarray:
+    """At most SAMPLE_LINES consecutive lines from anywhere in a text."""
+    start = h % (len(f) - SAMPLE_LINES + 1) if len(f) > SAMPLE_LINES else 0
+    return f[start : start + SAMPLE_LINES]
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> LineModel:
     """Fit the chain on the lines of a bounded sample of documents, picked by a hash of the text, and a few fixed lines.
 
-    The driver gets features only: at most 1.5 x sample_rows sequences of SAMPLE_LINES lines.
+    The driver gets features only: at most 1.5 x sample_rows sequences of SAMPLE_LINES lines. Null texts do not count,
+    equal texts count once, and an empty table gives the model of the fixed lines.
     """
     d = columns(docs, text=text_col).where("text is not null")
     n = d.count()
@@ -178,8 +209,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
         def features(batches):
             for b in batches:
-                lines = [_lines(x)[:SAMPLE_LINES] for x in as_bytes(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([line_features(x).reshape(-1).tolist() for x in lines], pa.list_(pa.float64()))], names=["h", "f"])
+                found = [_stretch(line_features(_lines(x)), h) for h, x in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.reshape(-1).tolist() for f in found], pa.list_(pa.float64()))], names=["h", "f"])
 
         # equal texts have one hash, so a group of copies counts once
         bags = picked.mapInArrow(features, "h long, f array<double>").dropDuplicates(["h"])
@@ -217,7 +248,7 @@ def assess(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_co
 
 
 def keep(docs: DataFrame, model: LineModel, *, text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows that ``assess`` keeps, with all their columns."""
+    """The rows that ``assess`` keeps, with all their columns; null texts go, and an empty table stays empty."""
     place = docs.columns.index(text_col)
 
     def run(batches):
