@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, mixing, pii, quality, recompression, sentencepieces, simhash, suffix_dedup, token_files
+from . import gif, langid, mixing, oracles, pii, quality, recompression, sentencepieces, simhash, suffix_dedup, token_files
 from .common import documents
 
 
@@ -54,4 +54,4 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_gif, op3_langid, op4_simhash, op5_sentencepiece, op6_token_files, op7_suffix_array, op8_pii, op9_quality, op10_recompression)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_suffix_array": oracles.OP7_SUFFIX_ARRAY, "op10_recompression": oracles.OP10_RECOMPRESSION}
