@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_bytes, batch, columns, partitions, scratch
+from .common import as_bytes, batch, columns, partitions, scratch, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -177,17 +177,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows that share that id, those with the smallest hash of the text count, and of equal rows one stays.
     """
-    names = docs.columns
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.col(text_col), F.col(id_col).isNull())]
-    own = docs.select(*[F.col(f"`{c}`") for c in names], keys[0].alias("__id"), keys[1].alias("__tx"))
+    names, (key, tx) = docs.columns, unused(docs, "id", "tx")
+    own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    own = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(own_id, F.lit(0)).alias(key), F.xxhash64(text, own_id.isNull()).alias(tx))
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x or b"") for x in as_bytes(b.column(3))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "id", "tx", "fp"])
 
-    fps = own.select(F.col(id_col).cast("long").alias("doc_id"), "__id", "__tx", F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, id long, tx long, fp long")
+    fps = own.select(own_id.alias("doc_id"), key, tx, text.alias("text")).mapInArrow(run, "doc_id long, id long, tx long, fp long")
     fps = scratch(fps, "fingerprints")
     chosen = fps.join(components_of(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "id", "tx")).alias("first"))
-    chosen = chosen.select(F.col("first.id").alias("__id"), F.col("first.tx").alias("__tx"))
-    return own.join(chosen, ["__id", "__tx"]).dropDuplicates(["__id", "__tx"]).select(*[F.col(f"`{c}`") for c in names])
+    chosen = chosen.select(F.col("first.id").alias(key), F.col("first.tx").alias(tx))
+    return own.join(chosen, [key, tx]).dropDuplicates([key, tx]).select(*[F.col(f"`{c}`") for c in names])
