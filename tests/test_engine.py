@@ -7,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeflow.functions import ExpressionError
+from treeflow.functions.compiler import override
 from treeflow.functions.timing import TimingLog
 from treeflow.operators import choice, encoding, lookup
 from treeflow.operators.nesting import NestingTree, construct_nesting_tree
 from treeflow.operators.table import Table, concat_tables
 from treeflow.plans import Flow, Node, Relationship, Tree
+from treeflow.plans.tree import positions
 from treeflow.sources import DataStore, ReadOnlyError, construct, from_arrow, from_matrices, from_parquet_3d
 from treeflow.sources.spec import read_spec
+from treeflow.sources.store import BlockTable
 from treeflow.sources.tensors import read_node, release, share, write_node
 from treeflow.streaming import apply_stream, write_stream
 
@@ -303,7 +306,7 @@ def test_store(spark, tmp_path):
     s.make_checkpoint("one")
     s.update("t", spark.createDataFrame([(1, 10), (2, 20)], "k int, w int"))
     s.make_checkpoint("two")
-    assert spark.read.parquet(f"file://{tmp_path}/s/t/two").columns == ["k", "w"]
+    assert spark.read.parquet(f"file://{tmp_path}/s/t/two-*").columns == ["k", "w"]
     r = DataStore(spark, s.directory, mode="r")
     r.restore_checkpoint("two")
     assert sorted(map(tuple, r.get_dataframe("t").collect())) == [(1, "a", 10), (2, "b", 20)]
@@ -313,6 +316,69 @@ def test_store(spark, tmp_path):
         r.restore_checkpoint("nine")
     with pytest.raises(FileExistsError):
         s.make_checkpoint("two", overwrite=False)
+    # a second checkpoint under one name keeps what the first one wrote
+    s.update("t", spark.createDataFrame([(1, 5), (2, 6)], "k int, x int"))
+    s.make_checkpoint("two")
+    for name, want in (("two", [(1, "a", 10, 5), (2, "b", 20, 6)]), ("one", [(1, "a"), (2, "b")])):
+        again = DataStore(spark, s.directory)
+        again.restore_checkpoint(name)
+        assert sorted(map(tuple, again.get_dataframe("t").collect())) == want
+
+
+def test_blocks_of_rows_and_columns_at_once(spark, tmp_path):
+    blocks = BlockTable(spark, f"file://{tmp_path}/b")
+    blocks.write(spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "__row long, v string"), "first")
+    both = [(0, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0), (3, "d", 4.0), (4, "e", 5.0)]
+    blocks.write(spark.createDataFrame(both, "__row long, v string, w double"), "second")
+    assert sorted(map(tuple, blocks.read().collect())) == both == sorted(map(tuple, blocks.read("second").collect()))
+    assert blocks.read("first").columns == ["__row", "v"]
+    blocks.write(spark.createDataFrame(both, "__row long, v string, w double"))
+    assert len(blocks.blocks()) == 3
+
+
+def test_positions(spark):
+    for values, kind in (([3, None, 1, 2, 1], "int"), (["b", None, "ab", "a", "é", "longer than seven", "longer than seven bytes"], "string"), ([0.5, float("nan"), -1.0, None], "double"), ([True, False], "boolean"), ([], "int")):
+        df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"v {kind}, i int").repartition(3)
+        got = positions(df, "v").orderBy("__pos").collect()
+        order = lambda v: (v is not None, isinstance(v, float) and v != v, (v.encode() if isinstance(v, str) else v) if v is not None and v == v else 0)
+        assert [(str(r["v"]), r["i"], r["__pos"]) for r in got] == [(str(v), i, p) for p, (v, i) in enumerate(sorted(zip(values, range(9)), key=lambda x: (order(x[0]), x[1])))]
+    many = positions(spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(5), "v")
+    assert many.where("v <> __pos").count() == 0 and many.count() == 5000
+
+
+def test_override_marker():
+    assert override("a + b  # note: adds things") == "a + b  # note: adds things"
+    assert override("x == '# flow: no'") == "x == '# flow: no'"
+    assert override("a  # flow: b + 1") == "b + 1" and override("a  # mine: b", "mine") == "b" and override("a  # flow: b", None) == "a  # flow: b"
+
+
+def brute_smash(counts, bits):
+    """One merge after another, each found by looking at all values."""
+    n = dict(counts)
+    while len(n) > 1 << bits:
+        values = sorted(n)
+        inner = [(n[v], v) for v in values[1:-1]]
+        if not inner:
+            break
+        c, v = min(inner)
+        i = values.index(v)
+        near = values[i - 1] if v - values[i - 1] <= values[i + 1] - v else values[i + 1]
+        n[near] += n.pop(v)
+    return sorted(n)
+
+
+def test_rare_values_merge(spark):
+    import random
+
+    rnd = random.Random(8)
+    for _ in range(200):
+        counts = [(v, rnd.randint(1, 6)) for v in rnd.sample(range(100), rnd.randint(1, 30))]
+        assert encoding.smash_bins(counts, 3) == brute_smash(counts, 3)
+    df = spark.createDataFrame([(i, i % 40) for i in range(200)], "k int, v int")
+    coded = encoding.by_dictionary(df, "v", bitwidth=3)
+    values = encoding.Encoding.of(coded, "v").values
+    assert list(values) == brute_smash([(v, 5) for v in range(40)], 3)
+    assert all(abs(values[r["v"]] - r["k"] % 40) == min(abs(x - r["k"] % 40) for x in values) for r in coded.collect())
 
 
 def test_spec():

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -60,20 +62,26 @@ _MODULES = {"np", "numpy", "math"}
 _CONSTANTS = {"nan": S.NAN, "inf": S.INF, "pi": 3.141592653589793, "e": 2.718281828459045}
 
 
+#: A comment that opens with this word and a colon holds the expression that is compiled instead of the one before it.
+OVERRIDE = "flow"
+
+
 class Compiler:
     """Compiles expressions against a resolver.
 
     ``lookup`` handles calls on nodes that are not column functions: get, reverse, max and constant-bound subscripts.
+    ``override_mark`` is the word that lets a comment replace its expression (None: no comment does).
     ``error_model`` is "numpy" (division by zero gives infinities and NaN) or "python" (it is an error).
     """
 
-    def __init__(self, resolve: Resolver, *, functions: Mapping[str, Callable] | None = None, lookup: Callable[[str, str, tuple, str | None], Value | None] | None = None, is_node: Callable[[str], bool] = lambda name: False, error_model: str = "numpy"):
+    def __init__(self, resolve: Resolver, *, functions: Mapping[str, Callable] | None = None, lookup: Callable[[str, str, tuple, str | None], Value | None] | None = None, is_node: Callable[[str], bool] = lambda name: False, error_model: str = "numpy", override_mark: str | None = OVERRIDE):
         self.resolve, self.functions, self.lookup, self.is_node, self.error_model = resolve, dict(functions or {}), lookup, is_node, error_model
+        self.override_mark = override_mark
 
     def __call__(self, expression: str | float | bool) -> Value:
         if not isinstance(expression, str):
             return literal(expression)
-        text = override(expression)
+        text = override(expression, self.override_mark)
         try:
             tree = ast.parse(text.strip(), mode="eval")
         except SyntaxError as e:
@@ -309,6 +317,12 @@ class Compiler:
             return Value(F.pow(values[0].col, values[1].col), "float", nullable)
         if name in ("divide", "true_divide"):
             return Value(S.divide(values[0].col, values[1].col), "float", nullable)
+        if name in ("mod", "remainder", "floor_divide"):
+            whole = all(v.kind == "int" for v in values)
+            f = S.floor_divide if name == "floor_divide" else S.modulo
+            return Value(f(values[0].col, values[1].col, whole), "int" if whole else "float", nullable)
+        if name in S.BINARY:
+            return Value(S.BINARY[name](*[v.col.cast("double") for v in values]), "float", nullable)
         if name in ("int", "float", "bool"):
             return self.cast(self.visit(args[0]), name)
         if name in S.UNARY:
@@ -375,10 +389,14 @@ def _constants(n: ast.AST) -> list | None:
     return list(v) if isinstance(v, (tuple, list)) else [v]
 
 
-#: What follows this marker in a comment replaces the expression before it; a word and a colon.
-OVERRIDE = r"#\s*\w+\s*:\s*(.+)$"
-
-
-def override(expression: str) -> str:
-    found = re.search(OVERRIDE, expression)
-    return found[1] if found else expression
+def override(expression: str, mark: str | None = OVERRIDE) -> str:
+    """The expression after the mark in a comment, if there is one; other comments and marks in text mean nothing."""
+    if mark is None or "#" not in expression:
+        return expression
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(expression).readline):
+            if t.type == tokenize.COMMENT and (found := re.match(rf"#\s*{re.escape(mark)}\s*:\s*(.+)$", t.string)):
+                return found[1]
+    except (tokenize.TokenError, SyntaxError):
+        pass  # the parser will say what is wrong
+    return expression

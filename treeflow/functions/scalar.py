@@ -39,6 +39,18 @@ def log1p(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit(NAN)).when(x > -1, F.log1p(F.when(x > -1, x))).when(x == -1, F.lit(-INF)).when(x < -1, F.lit(NAN))
 
 
+def logaddexp(a: Column, b: Column) -> Column:
+    """log(exp(a) + exp(b)) without overflow; equal infinities give themselves."""
+    top, low = F.greatest(a, b), F.least(a, b)
+    return F.when(F.isnan(a) | F.isnan(b), F.lit(NAN)).when(top == low, top + F.lit(0.6931471805599453)).otherwise(top + F.log1p(F.exp(low - top)))
+
+
+def truncated(x: Column) -> Column:
+    """Towards zero; infinities and NaN stay."""
+    x = x.cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).when(x >= 0, F.floor(x).cast("double")).otherwise(F.ceil(x).cast("double"))
+
+
 def is_missing(x: Column, floating: bool) -> Column:
     return (x.isNull() | F.isnan(x)) if floating else x.isNull()
 
@@ -84,8 +96,11 @@ def blend(sparse: Column, dense: Column, limit: float | None) -> Column:
     return F.when(known & (sparse <= F.lit(float(limit))), r * dense + (1 - r) * sparse).otherwise(dense)
 
 
+#: Functions of two numbers by name.
+BINARY = {"hypot": F.hypot, "arctan2": F.atan2, "logaddexp": logaddexp, "copysign": lambda a, b: F.abs(a) * F.when(b < 0, F.lit(-1.0)).otherwise(F.lit(1.0))}
 #: Functions of one number by name; those with domains of their own are guarded above.
 UNARY = {
     "exp": F.exp, "expm1": F.expm1, "log": log, "log1p": log1p, "sqrt": F.sqrt, "abs": F.abs, "absolute": F.abs, "fabs": F.abs, "floor": F.floor, "ceil": F.ceil,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "sign": F.signum, "degrees": F.degrees, "radians": F.radians, "rint": F.rint, "cbrt": F.cbrt, "square": lambda x: x * x, "negative": lambda x: -x,
+    "log10": lambda x: log(x) / F.lit(2.302585092994046), "log2": lambda x: log(x) / F.lit(0.6931471805599453), "trunc": truncated, "fix": truncated, "exp2": lambda x: F.pow(F.lit(2.0), x), "reciprocal": lambda x: divide(F.lit(1.0), x), "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh,
 }

@@ -8,10 +8,12 @@ from dataclasses import asdict, dataclass
 from enum import IntEnum
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 META = "encoding"
+#: Distinct values of a column whose counts may come to the driver.
+MOST_VALUES = 1_000_000
 _INTEGERS = {8: ("byte", 127), 16: ("short", 32767), 32: ("int", 2147483647)}
 
 
@@ -39,7 +41,11 @@ class Encoding:
 
     @classmethod
     def of(cls, df: DataFrame, name: str) -> Encoding | None:
-        text = df.schema[name].metadata.get(META)
+        return cls.of_field(df.schema[name])
+
+    @classmethod
+    def of_field(cls, f: T.StructField) -> Encoding | None:
+        text = (f.metadata or {}).get(META)
         if text is None:
             return None
         d = json.loads(text)
@@ -112,11 +118,15 @@ def smash_bins(counts: Sequence[tuple[Any, int]], bitwidth: int) -> list:
 def by_dictionary(df: DataFrame, name: str, *, bitwidth: int = 8, values: Sequence | None = None) -> DataFrame:
     """Codes into a dictionary of at most 2^bitwidth values: exact for text, the nearest value for numbers; null is -1.
 
-    The dictionary comes to the driver: without ``values`` the counts of distinct values do, and the rarest merge.
+    The dictionary comes to the driver: without ``values`` the counts of distinct values do, and the rarest merge. A
+    column with more than MOST_VALUES distinct values is an error: round it first, or give the values.
     """
     text = isinstance(df.schema[name].dataType, T.StringType)
     if values is None:
-        counts = [(r["value"], r["n"]) for r in histogram(df, name).collect()]
+        most = 1 << bitwidth if text else MOST_VALUES
+        counts = [(r["value"], r["n"]) for r in histogram(df, name).limit(most + 1).collect()]
+        if len(counts) > most:
+            raise ValueError(f"{name} has more than {most} distinct values")
         values = sorted(v for v, _ in counts) if text else smash_bins(counts, bitwidth)
     if len(values) > 1 << bitwidth:
         raise ValueError(f"{len(values)} values do not fit {bitwidth} bits")
@@ -132,9 +142,11 @@ def by_dictionary(df: DataFrame, name: str, *, bitwidth: int = 8, values: Sequen
 
 def joint_dictionary(df: DataFrame, names: Sequence[str], encoding: str) -> tuple[DataFrame, DataFrame]:
     """(df with one column <encoding>_offsets instead of the names, the table of distinct combinations by offset)."""
+    from ..plans.tree import positions
+
     offset = f"{encoding}_offsets"
     combos = df.select(*names).distinct()
-    table = combos.withColumn(offset, F.row_number().over(Window.orderBy(*names)) - 1)  # distinct combinations only
+    table = positions(combos, list(names), offset).withColumn(offset, F.col(offset).cast("int"))
     on = [df[n].eqNullSafe(table[n]) for n in names]
     coded = df.join(table, on).select(*[df[c] for c in df.columns if c not in names], table[offset].alias(offset, metadata=Encoding("joint", joint=encoding).metadata()))
     return coded, table

@@ -91,7 +91,7 @@ class Table:
         for i, t in enumerate(tables):
             part = t.df.withColumn("__part", F.lit(i))
             out = part if out is None else out.unionByName(part)
-        return cls(positions(out.withColumn("__by", F.struct("__part", ROW)).drop(ROW), "__by", ROW).drop("__by", "__part"))
+        return cls(positions(out.withColumnRenamed(ROW, "__by"), ["__part", "__by"], ROW).drop("__by", "__part"))
 
     def eval(self, expression: Any, *, target: str | None = None, inplace: bool = False, local: Mapping[str, Any] | None = None, functions: Mapping[str, Any] | None = None) -> Table | DataFrame:
         """An expression over the columns; "a = expression" names its target. With inplace the table gets the column."""

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.compiler import Value, kind_of, literal
 from ..functions.scalar import blend
+from ..operators.encoding import Encoding, decoded
 from .tree import Frame, Node, Relationship, Tree
 
 
@@ -36,6 +37,7 @@ class Binder:
         self.lookups: dict[tuple, Lookup] = {}
         self.maps: dict[tuple, tuple[int, Column, DataFrame]] = {}
         self.blends: dict[tuple, tuple[int, Column, Column, DataFrame]] = {}
+        self.joints: dict[tuple, tuple] = {}
         self.steps: list[tuple[str, Any]] = []
 
     # --- names ---
@@ -54,16 +56,44 @@ class Binder:
                 if (found := self.variable(other, name, reverse=reverse, fixed=fixed)) is not None:
                     return found
             return None
-        if node == self.root and name not in n.blended:
-            return self._value(F.col(f"`__root_{name}`"), frame.df.schema[name].dataType, name not in n.clean, n, name)
         if name in n.blended:
             return self._blended(n, name, reverse)
-        return self._dense(n, frame, name, reverse, fixed)
-
-    def _value(self, col: Column, t: T.DataType, nullable: bool, node: Node, name: str) -> Value:
-        return Value(col, kind_of(t), nullable, categories=node.categories.get(name))
-
-    def _dense(self, n: Node, frame: Frame, name: str, reverse: bool, fixed: tuple) -> Value:
+        offsets = n.joint_of(name) if name not in frame.df.columns else None
+        read = offsets or name
+        if node == self.root:
+            col, nullable = F.col(f"`__root_{read}`"), read not in n.clean
+        else:
+            col, nullable = self._dense(n, frame, read, reverse, fixed), True
+        if offsets is not None:
+            return self._joint(n, offsets, name, col)
+        return self._value(col, frame.df.schema[name], nullable, n)
+
+    def _joint(self, n: Node, offsets: str, name: str, code: Column) -> Value:
+        """A variable of a joint encoding: its table is joined once for each column of offsets that is looked up."""
+        table = n.joint[offsets]
+        key = (n.name, offsets, str(code._jc) if hasattr(code, "_jc") else str(code))
+        if key not in self.joints:
+            self.joints[key] = (len(self.steps), code, offsets, table, {})
+            self.steps.append(("joint", self.joints[key]))
+        number, *_, used = self.joints[key]
+        used[name] = None
+        return self._value(F.col(f"`__e{number}_{name}`"), table.schema[name], True, n)
+
+    def _join_joint(self, df: DataFrame, step: tuple) -> DataFrame:
+        number, code, offsets, table, used = step
+        t = table.select(F.col(offsets).alias(f"__eo{number}"), *[F.col(v).alias(f"__e{number}_{v}") for v in used])
+        out = df.withColumn(f"__ec{number}", code)
+        return out.join(t, F.col(f"__ec{number}") == F.col(f"__eo{number}"), "left").drop(f"__ec{number}", f"__eo{number}")
+
+    def _value(self, col: Column, f: T.StructField, nullable: bool, node: Node) -> Value:
+        """The value a column holds: codes of an encoding are decoded, by what the column's metadata say of it."""
+        e = Encoding.of_field(f)
+        if e is not None and e.kind in ("fixed", "dictionary"):
+            kind = "float" if e.kind == "fixed" else "str" if any(isinstance(v, str) for v in e.values or ()) else kind_of(f.dataType) if all(isinstance(v, int) for v in e.values or ()) else "float"
+            return Value(decoded(col, e), kind, True, categories=node.categories.get(f.name))
+        return Value(col, kind_of(f.dataType), nullable, categories=node.categories.get(f.name))
+
+    def _dense(self, n: Node, frame: Frame, name: str, reverse: bool, fixed: tuple) -> Column:
         sources, held, open_dims = [], [], []
         for dim in frame.dims:
             found = self._source(n, dim)
@@ -87,7 +117,7 @@ class Binder:
             self.steps.append(("lookup", self.lookups[key]))
         look = self.lookups[key]
         look.used[name] = None
-        return self._value(F.col(f"`{look.column(name)}`"), frame.df.schema[name].dataType, True, n, name)
+        return F.col(f"`{look.column(name)}`")
 
     def _bound(self, n: Node, dim: str) -> tuple[Column, str] | None:
         r: Relationship | None = self.tree.bindings(n.name).get(dim)
@@ -125,7 +155,7 @@ class Binder:
         if i is None or j is None:
             raise KeyError(f"{n.name}.{name}: its fine dims {b.dims} are not bound")
         dense_frame = next((f for f in n.frames if name in f.variables), None)
-        dense = self._dense(n, dense_frame, name, reverse, ()).col if dense_frame else F.lit(0.0)
+        dense = self._value(self._dense(n, dense_frame, name, reverse, ()), dense_frame.df.schema[name], True, n).col if dense_frame else F.lit(0.0)
         a, z = (j[0], i[0]) if reverse else (i[0], j[0])
         key = (n.name, name, reverse)
         if key not in self.blends:
@@ -188,11 +218,11 @@ class Binder:
             if first and len(look.sources) > 1:
                 # each key alone falls back to its dim's first label
                 labels = n.labels(d)
-                start = labels.orderBy("__pos").first()  # one row
+                start = labels.orderBy("__pos").limit(1).select(F.col("__pos" if how == "position" else d).alias("__start"))  # one row
                 lab = labels.select(F.col("__pos" if how == "position" else d).alias("__lab"))
                 df = df.join(lab, F.col(f"__s{look.number}_{d}") == F.col("__lab"), "left")
-                at_first = F.lit(None if start is None else start["__pos"] if how == "position" else start[d])
-                df = df.withColumn(f"__s{look.number}_{d}", F.coalesce("__lab", at_first)).drop("__lab")
+                df = df.join(F.broadcast(start), F.lit(True), "left")
+                df = df.withColumn(f"__s{look.number}_{d}", F.coalesce("__lab", "__start")).drop("__lab", "__start")
         marked = child.drop(place).withColumn(f"__hit{look.number}", F.lit(True))
         on = [F.col(f"__s{look.number}_{d}") == F.col(k) for (d, _, _), k in zip(look.sources, keys, strict=True)]
         out = df.join(marked, on, "left") if on else df.crossJoin(F.broadcast(marked.limit(1)))

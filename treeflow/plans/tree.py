@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -40,6 +40,7 @@ class Node:
     unique: keys are known to be unique, so no deduplication is planned. dense: labels are 0, 1, 2, ..., so a position
     is its label. categories: for a text variable or dim, its full list of categories. redirects: for a dim,
     the name of a finer one and a table (fine, coarse) that maps it. blended: variables with a sparse table beside them.
+    joint: tables of combinations by offset. Variables that carry an encoding in their metadata are decoded where used.
     """
 
     name: str
@@ -51,6 +52,15 @@ class Node:
     categories: dict[str, tuple] = field(default_factory=dict)
     redirects: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
     blended: dict[str, Blend] = field(default_factory=dict)
+    joint: dict[str, DataFrame] = field(default_factory=dict)
+
+    def with_joint(self, encoding: str, table: DataFrame) -> Node:
+        """The table of combinations that the column <encoding>_offsets refers to: its variables are the node's own."""
+        return replace(self, joint={**self.joint, f"{encoding}_offsets": table})
+
+    def joint_of(self, name: str) -> str | None:
+        """The offsets column whose table holds a variable."""
+        return next((o for o, t in self.joint.items() if name in t.columns and name != o), None)
 
     def redirected(self, mapping: DataFrame, fine: str, coarse: str, **dims: str) -> Node:
         """Finer names for dims: redirected(m, "MAZ", "TAZ", otaz="omaz", dtaz="dmaz")."""
@@ -114,6 +124,8 @@ class Node:
         for f in self.frames:
             if name in f.variables:
                 return f
+        if (offsets := self.joint_of(name)) is not None:
+            return next((f for f in self.frames if offsets in f.variables), None)
         held = [f for f in self.frames if name in f.dims]
         return min(held, key=lambda f: len(f.dims)) if held else None
 
@@ -178,18 +190,33 @@ class Node:
         return replace(self, frames=[Frame(f.dims, f.df.select(*[cast(x) for x in f.df.schema])) for f in self.frames])
 
 
-#: Rows up to which a single window numbers positions; beyond, positions are counted by sorted partitions.
-SMALL = 100_000
+#: Ranges in which rows are numbered: no window holds more than about this share of them.
+RANGES = 256
+
 
+def _range_key(t: T.DataType, c: Column) -> Column:
+    """A number that orders as the column does, or as the first seven bytes of a text do."""
+    if isinstance(t, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return c.cast("int") if isinstance(t, T.BooleanType) else c
 
-def positions(df: DataFrame, by: str, name: str = "__pos", *, large: bool | None = None) -> DataFrame:
-    """Numbers rows from 0 in the order of a column: sorted ranges are counted, then numbered within themselves."""
-    if large is None:
-        large = df.limit(SMALL + 1).count() > SMALL
-    if not large:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(F.col(by))).cast("long") - 1)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.orderBy(by).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+
+def positions(df: DataFrame, by: str | Sequence[str], name: str = "__pos") -> DataFrame:
+    """Numbers rows from 0 in the order of columns, nulls first; rows equal in these go by their other columns.
+
+    Approximate quantiles of the first column cut the rows into ranges; each is numbered by a window of its own, after
+    the rows of the ranges before it. All within one plan, at every size.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    key = _range_key(df.schema[by[0]].dataType, F.col(by[0]))
+    rest = [f.name for f in df.schema if f.name not in by and not isinstance(f.dataType, T.MapType)]
+    cuts = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000).alias("__cuts"))
+    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < key)), F.lit(0))).drop("__cuts")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # one row for each range
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*by, *rest))
+    return ranged.withColumn("__place", place).join(F.broadcast(starts), "__range").select(*df.columns, (F.col("__start") + F.col("__place") - 1).cast("long").alias(name))
 
 
 @dataclass(frozen=True)

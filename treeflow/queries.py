@@ -199,7 +199,8 @@ expressions("expr_astype", {"a": ("c_acctbal.astype(int)", "cast(trunc(c_acctbal
 expressions("expr_get_default", {"a": ("customer.get('c_acctbal')", "c_acctbal"), "b": ("customer.get('no_such', 7)", "7"), "c": ("orders.get('nothing', default=o_totalprice)", "o_totalprice")})
 expressions("expr_fallback_space", {"a": ("payer.c_acctbal", "c_acctbal"), "b": ("payer.n_regionkey", "n.n_regionkey")}, subspace_fallbacks={"payer": ["customer", "nation"]})
 expressions("expr_output_reuse", {"a": ("o_totalprice / 1000", "o_totalprice / 1000"), "b": ("a * 2 + 1", "o_totalprice / 1000 * 2 + 1"), "c": ("b - a", "o_totalprice / 1000 * 2 + 1 - o_totalprice / 1000")})
-expressions("expr_override_marker", {"a": ("df.something_else  # flow: c_acctbal + 1", "c_acctbal + 1")})
+expressions("expr_override_marker", {"a": ("df.something_else  # flow: c_acctbal + 1", "c_acctbal + 1"), "b": ("c_acctbal + 2  # note: adds two", "c_acctbal + 2"), "c": ("where(c_mktsegment == '# flow: 1', 1, 2)", "2.0")})
+expressions("expr_ufuncs", {"a": ("np.log10(c_acctbal + 1000)", "log10(c_acctbal + 1000)"), "b": ("np.log2(c_acctbal + 1000)", "log2(c_acctbal + 1000)"), "c": ("np.hypot(c_acctbal, n_regionkey)", "sqrt(c_acctbal * c_acctbal + n.n_regionkey * n.n_regionkey)"), "d": ("np.arctan2(c_acctbal, 3 + n_regionkey)", "atan2(c_acctbal, 3 + n.n_regionkey)"), "e": ("np.logaddexp(c_acctbal / 1000, 1)", "ln(exp(c_acctbal / 1000) + exp(1))"), "f": ("np.trunc(c_acctbal / 7)", "trunc(c_acctbal / 7)"), "g": ("np.floor_divide(c_nationkey, 3)", "cast(c_nationkey // 3 as double)"), "h": ("np.mod(c_nationkey, 3)", "cast(c_nationkey % 3 as double)")})
 expressions("expr_extra_aux_vars", {"a": ("c_acctbal * rate + steps[2] + levels[1]", "c_acctbal * 0.5 + 30000 + 20"), "b": ("c_nationkey.isin(wanted)", "case when c_nationkey in (2, 4) then 1.0 else 0.0 end"), "c": ("steps[n_regionkey]", "case n.n_regionkey when 0 then 10000 when 1 then 20000 when 2 then 30000 end")}, extra_vars={"rate": 0.5, "wanted": [2, 4]}, aux_vars={"steps": {0: 10000, 1: 20000, 2: 30000}, "levels": [10, 20]})
 expressions("expr_extra_func", {"a": ("double_it(c_acctbal) + 1", "c_acctbal * 2 + 1"), "b": ("c_acctbal.apply(plus, by=n_regionkey)", "c_acctbal + n.n_regionkey")}, extra_funcs={"double_it": lambda x: x * 2, "plus": lambda x, by: x + by})
 
@@ -443,6 +444,42 @@ def enc_smash_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.by_dictionary(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("code")), "code", bitwidth=4)
 
 
+@query("select p_partkey, cast(case when p_size < 10.5 then 0 when p_size < 25.5 then 1 when p_size < 40.5 then 2 else 3 end as smallint) code, case when p_size < 10.5 then 1 when p_size < 25.5 then 20 when p_size < 40.5 then 31 else 50 end as value from part")
+def enc_dict_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of four given values."""
+    df = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("code"))
+    coded = encoding.by_dictionary(df, "code", bitwidth=2, values=[1, 20, 31, 50])
+    return coded.select("p_partkey", "code", encoding.decoded(F.col("code"), encoding.Encoding.of(coded, "code")).alias("value"))
+
+
+def _encoded_orders(spark: SparkSession, sf_dir: str, coded: Node, definitions: Mapping[str, str]) -> DataFrame:
+    t = Tree("lineitem", relationships=["lineitem.l_orderkey @ orders.o_orderkey"], complete=True, lineitem=node(spark, sf_dir, "lineitem", "l_orderkey"), orders=coded)
+    return rounded(t.setup_flow(definitions, dtype="float64").load())
+
+
+@query(f"select l_orderkey, {r6('2 * trunc(o_totalprice / 10.0) * 10.0')} twice, case when trunc(o_totalprice / 10.0) * 10.0 > 200000 then 1.0 else 0.0 end dear from lineitem join orders on l_orderkey = o_orderkey")
+def flow_fixed_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-point codes are decoded where a flow uses them."""
+    coded = encoding.fixed_point(read(spark, sf_dir, "orders"), "o_totalprice", bitwidth=32, scale=10.0, offset=0.0)
+    return _encoded_orders(spark, sf_dir, Node.table("orders", coded, "o_orderkey", unique=True, dense=True), {"twice": "orders.o_totalprice * 2", "dear": "orders.o_totalprice > 200000"})
+
+
+@query("select l_orderkey, case when o_orderpriority = '2-HIGH' then 1.0 else 0.0 end high, case when o_orderstatus in ('F', 'P') then 1.0 else 0.0 end shut from lineitem join orders on l_orderkey = o_orderkey")
+def flow_dict_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of dictionaries are decoded where a flow uses them."""
+    coded = encoding.by_dictionary(encoding.by_dictionary(read(spark, sf_dir, "orders"), "o_orderpriority"), "o_orderstatus", bitwidth=2)
+    return _encoded_orders(spark, sf_dir, Node.table("orders", coded, "o_orderkey", unique=True, dense=True), {"high": "orders.o_orderpriority == '2-HIGH'", "shut": "orders.o_orderstatus.isin(['F', 'P'])"})
+
+
+@query("select l_orderkey, case when o_orderpriority = '2-HIGH' and o_orderstatus <> 'F' then 1.0 else 0.0 end openhigh, cast(o_orderkey % 7 as double) wk from lineitem join orders on l_orderkey = o_orderkey")
+def flow_joint_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of a joint dictionary come from its table, joined once."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 7).alias("week"))
+    coded, table = encoding.joint_dictionary(df, ["o_orderpriority", "o_orderstatus", "week"], "three")
+    orders = Node.table("orders", coded, "o_orderkey", unique=True, dense=True).with_joint("three", table)
+    return _encoded_orders(spark, sf_dir, orders, {"openhigh": "(orders.o_orderpriority == '2-HIGH') & (orders.o_orderstatus != 'F')", "wk": "orders.week"})
+
+
 # --- tables, specs, files --------------------------------------------------------------------------------------
 
 
@@ -542,7 +579,7 @@ def quilt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.read()
 
 
-@query(f"select s.o, s.d, s.period, {r6('TIME_')} TIME_ from {TIME_SQL} s where period = '3-MEDIUM'")
+@query(f"select s.o, s.d, s.period, {r6('TIME_')} TIME_ from {TIME_SQL} s")
 def tensor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.scratch import scratch_path
     from .sources.tensors import read_node, write_node
@@ -550,7 +587,7 @@ def tensor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tensor")
     write_node(skims(spark, sf_dir), path, partition_by="period")
     three = next(f.df for f in read_node(spark, path).frames if "period" in f.dims)
-    return rounded(three.where("period = '3-MEDIUM'").withColumnRenamed("TIME", "TIME_"))
+    return rounded(three.withColumnRenamed("TIME", "TIME_"))
 
 
 @query(f"select event_id, {r6('value * 2 + c_acctbal')} v from events left join customer on user_id = c_custkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
@@ -46,7 +47,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 class DataStore:
     """Tables by name, each with a key column. A checkpoint writes only columns changed since the last one.
 
-    Tables are Parquet folders under ``directory``; checkpoints are listed in <name>.json files there.
+    Tables are Parquet folders under ``directory``; checkpoints are listed in <name>.json files there. Each write makes
+    a fresh folder, so a checkpoint under a name that was used before loses nothing that others, or it, refer to.
     """
 
     VERSION = 1
@@ -57,7 +59,7 @@ class DataStore:
         self.spark, self.directory, self.mode = spark, directory.rstrip("/"), mode
         self.tables: dict[str, DataFrame] = {}
         self.keys: dict[str, str] = {}
-        self.saved: dict[str, dict[str, str]] = {}  # table -> column -> checkpoint
+        self.saved: dict[str, dict[str, str]] = {}  # table -> column -> folder
         self.relationships: list[Relationship] = []
 
     def _write(self) -> None:
@@ -106,9 +108,10 @@ class DataStore:
             key = self.keys[table]
             changed = [c for c in df.columns if c != key and c not in self.saved[table]]
             if changed or not self.saved[table]:
-                df.select(key, *changed).write.mode("overwrite").parquet(f"{self.directory}/{table}/{name}")
-                self.saved[table].update(dict.fromkeys(changed, name))
-                self.saved[table].setdefault("", name)
+                folder = f"{name}-{uuid.uuid4().hex[:12]}"
+                df.select(key, *changed).write.parquet(f"{self.directory}/{table}/{folder}")
+                self.saved[table].update(dict.fromkeys(changed, folder))
+                self.saved[table].setdefault("", folder)
         write_text(self.spark, path, json.dumps({"version": self.VERSION, "keys": self.keys, "columns": self.saved, "order": {t: df.columns for t, df in self.tables.items()}, "relationships": [str(r) for r in self.relationships]}, indent=1))
 
     def read_metadata(self, name: str) -> dict:
@@ -158,27 +161,33 @@ class BlockTable:
         write_text(self.spark, f"{self.path}/blocks.json", json.dumps([*held, {"folder": folder, "name": name or folder, "kind": kind, **more}], indent=1))
 
     def write(self, df: DataFrame, name: str | None = None) -> None:
-        """Appends what is new in a table of all rows so far and more: new rows, else new columns. It has a column __row."""
+        """Appends what is new in a table of all rows so far and more: new columns of the rows so far, then new rows.
+
+        The table has a column __row. A write with both adds two blocks under one name.
+        """
         now = self.read() if self.blocks() else None
         if now is None:
             self._add(df, "rows", name)
             return
+        have = now.select(self.ROW)
+        fresh = df.join(have, self.ROW, "left_anti")
         columns = [c for c in df.columns if c not in now.columns]
+        grows = not fresh.isEmpty()
         if columns:
-            self._add(df.select(self.ROW, *columns), "cols", name)
-            return
-        self._add(df.join(now.select(self.ROW), self.ROW, "left_anti"), "rows", name)
+            self._add(df.join(have, self.ROW, "left_semi").select(self.ROW, *columns), "cols", name)
+        if grows:
+            self._add(fresh, "rows", name)
 
     def read(self, block: int | str | None = None) -> DataFrame:
         """The table as of a block (by number or name), or as it is."""
-        out = None
-        for i, b in enumerate(self.blocks()):
+        out, held = None, self.blocks()
+        for i, b in enumerate(held):
             part = self.spark.read.parquet(f"{self.path}/{PurePosixPath(b['folder'])}")
             if b["kind"] == "rows":
                 out = part if out is None else out.unionByName(part, allowMissingColumns=True)
             else:
                 out = out.join(part, self.ROW, "left")
-            if block in (i, b["name"]):
+            if block == i or block == b["name"] and b["name"] not in [x["name"] for x in held[i + 1 :]]:
                 return out
         if out is None or block is not None:
             raise FileNotFoundError(f"{self.path}: block {block}")
