@@ -96,6 +96,14 @@ def flow_load_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.setup_flow({"net": "l_extendedprice * (1 - l_discount)", "big": "np.where(o_totalprice > 100000, 1, 0)", "bal": "customer.c_acctbal.clip(0, 5000)"}, dtype="float64").load())
 
 
+@query(f"select l_orderkey, {r6('l_extendedprice * (1 - l_discount)')} net, {r6('o_totalprice')} price, {r6('c_acctbal')} bal from {STAR_SQL}")
+def flow_load_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups without any promise: labels are made unique, and keys without a match would take the first row."""
+    bare = {n: Node.table(n, read(spark, sf_dir, n), k) for n, k in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("customer", "c_custkey"))}
+    t = Tree("lineitem", relationships=["lineitem.l_orderkey @ orders.o_orderkey", "orders.o_custkey @ customer.c_custkey"], **bare)
+    return rounded(t.setup_flow({"net": "l_extendedprice * (1 - l_discount)", "price": "orders.o_totalprice", "bal": "customer.c_acctbal"}, dtype="float64").load())
+
+
 @query(f"select l_orderkey, n.n_name nation, r_name region, {r6('c_acctbal')} bal from {STAR_SQL}")
 def flow_chain_snowflake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(star(spark, sf_dir).setup_flow({"nation": "nation.n_name", "region": "r_name", "bal": "c_acctbal"}, dtype=None).load())

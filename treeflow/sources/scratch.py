@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a local session without that setting gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the folder the session was given; a local session without either gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = given.get()
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
-        root = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    return f"{root.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session ended before; the folder is then its owner's to clean
+        return
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):  # the JVM went first
+        pass
