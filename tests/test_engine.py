@@ -346,6 +346,17 @@ def test_positions(spark):
     assert many.where("v <> __pos").count() == 0 and many.count() == 5000
 
 
+def test_streamer_over_two_dims(spark):
+    sides = [spark.createDataFrame([(i,) for i in range(4)], f"{d} int") for d in ("a", "b")]
+    t = Tree("pairs", pairs=Node.product("pairs", ("a", sides[0]), ("b", sides[1])))
+    stream = t.setup_flow({"x": "a * 10 + b"}, dtype="float64").init_streamer()
+    assert [r["x"] for r in stream(2, 3).collect()] == [23.0]
+    assert sorted(r["x"] for r in stream(1).collect()) == [10.0, 11.0, 12.0, 13.0]
+    assert stream(9, 9).collect() == []
+    with pytest.raises(ValueError):
+        stream(1, 2, 3)
+
+
 def test_override_marker():
     assert override("a + b  # note: adds things") == "a + b  # note: adds things"
     assert override("x == '# flow: no'") == "x == '# flow: no'"

@@ -163,11 +163,20 @@ class Flow:
         return logit_draws(self, coefficients, draws, source, **options)
 
     def init_streamer(self, source: DataFrame | None = None):
-        """A function of a root key's value that evaluates that row alone."""
-
-        def streamer(key: Any) -> DataFrame:
-            root = source if source is not None else self.tree.nodes[self.root].frames[0].df
-            return self.load(root.where(F.col(self.tree.nodes[self.root].frames[0].dims[0]) == F.lit(key)))
+        """A function of the root's keys, one value for each dim, that evaluates that row alone.
+
+        With fewer values than dims, all rows that have them: a chooser's alternatives, say.
+        """
+        frame = self.tree.nodes[self.root].frames[0]
+        root = source if source is not None else frame.df
+
+        def streamer(*keys: Any) -> DataFrame:
+            if not 0 < len(keys) <= len(frame.dims):
+                raise ValueError(f"{len(keys)} keys for the dims {frame.dims}")
+            rows = root
+            for dim, key in zip(frame.dims, keys, strict=False):
+                rows = rows.where(F.col(f"`{dim}`") == F.lit(key))
+            return self.load(rows)
 
         return streamer
 
