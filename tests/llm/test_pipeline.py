@@ -6,10 +6,11 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from treeflow.llm import mixing, quality, simhash
+from treeflow.llm import mixing, near_copies, quality, simhash
 from treeflow.llm.common import scratch
 
-from .test_operators import WORD, brute_components, brute_fingerprint, brute_quality, brute_spans
+from .test_near_copies import brute_groups
+from .test_operators import WORD, brute_quality, brute_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +27,8 @@ def test_stages(spark):
     assert not any(brute_quality(r["text"])[-1] for r in rows[1].values())
     content = quality.assess(seen[0], quality.fit(seen[0])).where("kept").select("doc_id").collect()
     assert {r["doc_id"] for r in content} == set(rows[1])
-    ids = list(rows[1])
-    comps = brute_components([brute_fingerprint(rows[1][i]["text"]) for i in ids], ids)
-    assert set(rows[2]) == set(comps)
+    ids = sorted(rows[1])
+    assert set(rows[2]) == {ids[g] for g in brute_groups([rows[1][i]["text"] for i in ids])}
     for i, r in rows[3].items():
         before = rows[2][i]["text"]
         assert (r["text"] == before) == (not brute_spans(before)) and not brute_spans(r["text"].replace("<", " ").replace(">", " "))
@@ -40,7 +40,7 @@ def test_stages(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = sorted((r["doc_id"], len(x := [*sp.encode(r["text"]), 2]), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for r in mixed)
     assert sorted(tuple(r)[:3] for r in seen[5].collect()) == want
-    assert simhash.one_of_each(seen[2]).count() == seen[2].count()
+    assert simhash.one_of_each(seen[2], rule=near_copies.NEAR).count() == seen[2].count()
 
 
 def test_run_is_its_stages(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,24 +21,33 @@ _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint(raw: bytes) -> int:
-    """Of a text's UTF-8 bytes: bit by bit, whether it is set in over half of the shingles' hashes; 0 without words."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text's UTF-8 bytes, repeats included; of all words where they are fewer, none of none."""
     words = raw.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return digest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[: -SHINGLE].tolist()]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    starts = [0, *ends[:-shingle].tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit, whether it is set in over half of the hashes; 0 without any."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def fingerprint(raw: bytes) -> int:
+    """Of a text's UTF-8 bytes: bit by bit, whether it is set in over half of the shingles' hashes; 0 without words."""
+    return majority(shingle_hashes(raw))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long. A null text has no words, hence fingerprint zero."""
 
@@ -62,34 +74,46 @@ def _settle(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         left, right = new_left, new_right
 
 
-def _joined(table: np.ndarray, old: np.ndarray, new: np.ndarray):
+def _joined(names: np.ndarray, old: np.ndarray, new: np.ndarray):
     """Edges between the rows that labels named before and those they name now."""
     moved = new != old
     if moved.any():
         pairs = np.unique(np.stack([old[moved], new[moved]]), axis=1)
-        yield table[pairs[0]], table[pairs[1]]
+        yield names[pairs[0]], names[pairs[1]]
 
 
-def bucket_links(table: np.ndarray, probes: list[np.ndarray]):
-    """Edges that join the members of one tile as its pairs within RADIUS do: a spanning set, not all pairs.
+def _near(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of left and right, fingerprints of one or more 64-bit words, differ in at most radius bits."""
+    differ = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(left.shape[1]):
+        differ += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
+    return differ <= radius
+
+
+def spanning(names: np.ndarray, table: np.ndarray, probes: list[tuple[np.ndarray, np.ndarray]], radius: int):
+    """Edges that join the members of one tile as its pairs within the radius do: a spanning set, not all pairs.
 
     Edges always join a row to the row its label names: each change of a label gives an edge from the former to the
     new one, so rows that a probe does not touch stay joined to those it relabels.
     """
     own = np.arange(len(table))
-    near = np.bitwise_count(table[:, None] ^ table[None, :]) <= RADIUS
-    label = _settle(near, own, own)[0]
-    yield from _joined(table, own, label)
-    for p in probes:
-        near = np.bitwise_count(p[:, None] ^ table[None, :]) <= RADIUS
+    label = _settle(_near(table, table, radius), own, own)[0]
+    yield from _joined(names, own, label)
+    for called, p in probes:
+        near = _near(p, table, radius)
         hit = near.any(axis=1)
         if hit.any():
             mine, new = _settle(near[hit], np.full(int(hit.sum()), len(table)), label)
-            yield p[hit], table[mine]
-            yield from _joined(table, label, new)
+            yield called[hit], names[mine]
+            yield from _joined(names, label, new)
             label = new
 
 
+def bucket_links(table: np.ndarray, probes: list[np.ndarray]):
+    """Spanning edges of one tile of 64-bit fingerprints, which are their own names, at RADIUS."""
+    return spanning(table, table[:, None], [(p, p[:, None]) for p in probes], RADIUS)
+
+
 def _tiles(batches):
     """Rows sorted by (seg, key, a, b, role): runs of one tile, table rows (role 0) before probes."""
     key, table, probes = None, [], []
@@ -172,22 +196,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(components_of(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Rule(NamedTuple):
+    """What makes texts near-duplicates: names of the fingerprint's columns, its words (signed) of a text's bytes, and
+    a function from rows with those columns and doc_id to the columns with the root of their component."""
+
+    names: list[str]
+    words: Callable[[bytes], tuple]
+    roots: Callable[[DataFrame], DataFrame]
+
+
+def _signed(raw: bytes) -> tuple:
+    value = fingerprint(raw)
+    return (value - (1 << 64) if value >> 63 else value,)
+
+
+#: Three-word shingles, 64 bits, at most three of which differ: copies and almost equal texts.
+CLOSE = Rule(["fp"], _signed, lambda fps: components_of(fps).select("fp", "root"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CLOSE) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id (null last).
 
-    Of rows that share that id, those with the smallest hash of the text count, and of equal rows one stays.
+    Of rows that share that id, those with the smallest hash of the text count, and of equal rows one stays. Null texts
+    and texts without words have fingerprint zero and link like any other.
     """
     names, (key, tx) = docs.columns, unused(docs, "id", "tx")
     own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     own = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(own_id, F.lit(0)).alias(key), F.xxhash64(text, own_id.isNull()).alias(tx))
+    width = len(rule.names)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(x or b"") for x in as_bytes(b.column(3))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "id", "tx", "fp"])
+            fps = np.array([rule.words(x or b"") for x in as_bytes(b.column(3))], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(fps[:, k]) for k in range(width)]], names=["doc_id", "id", "tx", *rule.names])
 
-    fps = own.select(own_id.alias("doc_id"), key, tx, text.alias("text")).mapInArrow(run, "doc_id long, id long, tx long, fp long")
-    fps = scratch(fps, "fingerprints")
-    chosen = fps.join(components_of(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "id", "tx")).alias("first"))
+    schema = "doc_id long, id long, tx long, " + ", ".join(f"{c} long" for c in rule.names)
+    fps = scratch(own.select(own_id.alias("doc_id"), key, tx, text.alias("text")).mapInArrow(run, schema), "fingerprints")
+    chosen = fps.join(rule.roots(fps), rule.names).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "id", "tx")).alias("first"))
     chosen = chosen.select(F.col("first.id").alias(key), F.col("first.tx").alias(tx))
     return own.join(chosen, [key, tx]).dropDuplicates([key, tx]).select(*[F.col(f"`{c}`") for c in names])
