@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treeflow.llm import mixing, pii, quality, sentencepieces, simhash
+from treeflow.llm import mixing, near_copies, pii, quality, sentencepieces, simhash
 from treeflow.llm.common import documents, scratch
 
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, 0.8) stays, the one with the smallest id."""
+    return simhash.one_of_each(docs, rule=near_copies.NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
