@@ -104,7 +104,8 @@ def links(distinct: DataFrame) -> DataFrame:
     flips = F.when(F.bit_count("value") % 2 == 0, F.array(*[F.lit(0 if j < 0 else 1 << j).cast("long") for j in range(-1, BITS)])).otherwise(F.array(F.lit(0).cast("long")))
     members = cut.select("id", *NAMES, "seg", "value", F.explode(flips).alias("flip"))
     members = members.select(key(F.col("seg"), F.col("value").bitwiseXOR(F.col("flip"))).alias("key"), (F.col("flip") != 0).cast("long").alias("role"), "id", *NAMES)
-    members = members.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    # written first, so that its true size decides whether the members must be shuffled for it
+    members = members.join(scratch(hot, "hot"), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     mine, other = F.pmod(F.xxhash64("id"), F.col("chunks")), F.col("other")
     dealt = members.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     first, last = F.when(F.col("role") == 1, other).otherwise(F.least("mine", other)), F.when(F.col("role") == 1, other).otherwise(F.greatest("mine", other))
