@@ -8,6 +8,7 @@ import re
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -90,10 +91,12 @@ def _walk(batches, model_path: str):
     table = ChunkTable(functools.partial(_segment, sp))
     alone = splits_at_marks(model_path)
     for b in batches:
-        texts = _texts(b.column(1))
-        for i, j in slices(len(texts), [len(t) for t in texts], 2_000_000):
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        for i, j in slices(b.num_rows, sizes, 1_000_000):  # a batch's texts become Python's slice by slice
+            part = b.slice(i, j - i)
+            texts = _texts(part.column(1))
             if alone:
-                entries = table.entries([marked_words(t) for t in texts[i:j]])
+                entries = table.entries([marked_words(t) for t in texts])
             else:  # a model whose pieces cross marks: whole texts are the chunks
-                entries = [[(x, " ".join(map(str, x)))] if x else [] for x in sp.encode(texts[i:j], num_threads=1)]
-            yield b, b.slice(i, j - i), entries, sp
+                entries = [[(x, " ".join(map(str, x)))] if x else [] for x in sp.encode(texts, num_threads=1)]
+            yield b, part, entries, sp
