@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -82,6 +84,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def lean(run):
+    """The task with memory given back at its end: workers live on, and the next stage's needs come on top of what they keep."""
+
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -116,4 +136,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["F", "SPACES", "as_bytes", "batch", "columns", "documents", "mix64", "partitions", "scratch", "scratch_path", "shared_dir", "slices", "unused"]
+__all__ = ["F", "SPACES", "as_bytes", "batch", "columns", "documents", "lean", "mix64", "partitions", "scratch", "scratch_path", "shared_dir", "slices", "trim", "unused"]

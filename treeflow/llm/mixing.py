@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns, mix64, partitions, scratch, unused
+from .common import columns, lean, mix64, partitions, scratch, trim, unused
 
 #: Words in a block, blocks in an output shard, and slots that are drawn together, at most.
 BLOCK_WORDS, SHARD_BLOCKS, GROUP_SLOTS = 64, 1024, 1 << 28
@@ -178,7 +179,7 @@ def slots(spark, sources: list[Source], *, shard_blocks: int = SHARD_BLOCKS) ->
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(rank)), "rank": rank[order].astype(np.int32), "block": place[order], "pass": passes[order].astype(np.int32)})
 
     ids = spark.range(0, shards, 1, max(1, min(shards, partitions(spark))))
-    return ids.mapInPandas(run, "shard long, slot long, rank int, block long, pass int")
+    return ids.mapInPandas(lean(run), "shard long, slot long, rank int, block long, pass int")
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------
@@ -281,6 +282,12 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged if b > a)
 
 
+def _cuts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for t, s in parts:
+        yield pd.Series([cut(x, [(y["first"], y["words"]) for y in z]) for x, z in zip(t, s, strict=True)], dtype=object)
+    trim()
+
+
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The mix as documents: one row for each row and pass that the mix takes from, with the text it takes in that pass.
 
@@ -308,7 +315,7 @@ def _attach(own: DataFrame, spans: DataFrame, names: list[str], keys: tuple[str,
     size, stretches, made = unused(own, "size", "spans", "text")
     passes = spans.select(*keys, F.col("size").alias(size), F.col("spans").alias(stretches))
     joined = own.dropDuplicates(list(keys)).join(passes, list(keys))
-    text = F.pandas_udf(lambda t, s: pd.Series([cut(x, [(y["first"], y["words"]) for y in z]) for x, z in zip(t, s, strict=True)]), "string")
+    text = F.pandas_udf(_cuts, "string")
     whole = F.aggregate(stretches, F.lit(0).cast("long"), lambda a, x: a + x["words"]) == F.col(size)
     # rows that a pass takes whole keep their text; only the others' goes to Python
     none = F.array().cast("array<struct<first:bigint,words:bigint>>")

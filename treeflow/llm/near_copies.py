@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, mix64, partitions, scratch
+from .common import batch, lean, mix64, partitions, scratch
 from .components import components
 from .simhash import Rule, majority, shingle_hashes, spanning
 
@@ -112,7 +112,7 @@ def links(distinct: DataFrame) -> DataFrame:
     part = F.call_function("shiftleft", first, F.lit(31)) + F.call_function("shiftleft", last, F.lit(1)) + F.col("role")
     tiles = dealt.select("key", part.alias("part"), "id", *NAMES)
     placed = tiles.repartition(partitions(distinct.sparkSession), "key", F.shiftright("part", 1)).sortWithinPartitions("key", "part")
-    return placed.mapInArrow(_tiles, "u long, v long")
+    return placed.mapInArrow(lean(_tiles), "u long, v long")
 
 
 def roots(fps: DataFrame) -> DataFrame:

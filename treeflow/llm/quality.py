@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, as_bytes, batch, columns
+from .common import SPACES, as_bytes, batch, columns, lean
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.reshape(-1).tolist() for f in found], pa.list_(pa.float64()))], names=["h", "f"])
 
         # equal texts have one hash, so a group of copies counts once
-        bags = picked.mapInArrow(features, "h long, f array<double>").dropDuplicates(["h"])
+        bags = picked.mapInArrow(lean(features), "h long, f array<double>").dropDuplicates(["h"])
         rows = [np.array(r["f"]).reshape(-1, N_FEATURES) for r in bags.orderBy("h").limit(int(1.5 * sample_rows)).collect()]
     return fit_lines([line_features(x) for x in _PRIMER] + rows + [line_features(x) for x in _PRIMER])
 
@@ -244,7 +244,7 @@ def assess(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_co
                 rows.append((*figures, not figures[-1] and share >= content_share, share))
             yield batch(_OUT, b.column(0), *[list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 8)
 
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, _DDL)
+    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run), _DDL)
 
 
 def keep(docs: DataFrame, model: LineModel, *, text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
@@ -260,4 +260,4 @@ def keep(docs: DataFrame, model: LineModel, *, text_col: str = "text", content_s
                 kept.append(not base_figures(raw, words, lines)[-1] and _share(model, lines) >= content_share)
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkTable
-from .common import batch, columns, slices
+from .common import batch, columns, lean, slices
 
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
@@ -69,7 +69,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
             ids = [[*chain.from_iterable(e[0] for e in es), sp.eos_id()] for es in entries]
             yield batch(_SCHEMA, part.column(0), ids, sp.decode(ids, num_threads=1) if ids else [])
 
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +83,7 @@ def digest(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
             said = [sha(" ".join([*[e[1] for e in es], str(end)])) for es in entries]
             yield batch(_DIGEST, part.column(0), [len(x) for x in ids], said, [sha(x) for x in sp.decode(ids, num_threads=1)] if ids else [])
 
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _walk(batches, model_path: str):

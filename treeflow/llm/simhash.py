@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_bytes, batch, columns, partitions, scratch, unused
+from .common import as_bytes, batch, columns, lean, partitions, scratch, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.array([fingerprint(x or b"") for x in as_bytes(b.column(1))], np.uint64)
             yield batch(_FP, b.column(0), fps.view(np.int64))
 
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
+    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _segment(i: int) -> Column:
@@ -173,7 +173,7 @@ def links(distinct: DataFrame) -> DataFrame:
     tiles = many.select("seg", "key", F.when(own, F.col("other")).otherwise(F.least("mine", "other")).alias("a"), F.when(own, F.col("other")).otherwise(F.greatest("mine", "other")).alias("b"), "role", "fp")
     n = partitions(distinct.sparkSession)
     placed = tiles.repartition(n, "seg", "key", "a", "b").sortWithinPartitions("seg", "key", "a", "b", "role")
-    return placed.mapInArrow(_tiles, "u long, v long")
+    return placed.mapInArrow(lean(_tiles), "u long, v long")
 
 
 def components_of(fps: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(fps[:, k]) for k in range(width)]], names=["doc_id", "id", "tx", *rule.names])
 
     schema = "doc_id long, id long, tx long, " + ", ".join(f"{c} long" for c in rule.names)
-    fps = scratch(own.select(own_id.alias("doc_id"), key, tx, text.alias("text")).mapInArrow(run, schema), "fingerprints")
+    fps = scratch(own.select(own_id.alias("doc_id"), key, tx, text.alias("text")).mapInArrow(lean(run), schema), "fingerprints")
     chosen = fps.join(rule.roots(fps), rule.names).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "id", "tx")).alias("first"))
     chosen = chosen.select(F.col("first.id").alias(key), F.col("first.tx").alias(tx))
     return own.join(chosen, [key, tx]).dropDuplicates([key, tx]).select(*[F.col(f"`{c}`") for c in names])
