@@ -421,5 +421,29 @@ def test_long_choices(spark):
     out = f.logit_draws([0.5], [F.lit(0.0), F.lit(0.999999999999), F.lit(1.0)]).collect()
     assert {(r["who"], r["draw"]): r["choice"] for r in out} == {(w, d): (0 if d == 0 else 3) for w in range(3) for d in range(3)}
     assert f.logit_draws([0.5], logsums=1).count() == 3
+    # of who 1 all cells are masked, of who 0 and 2 the outer ones
+    mask = (F.col("__root_who") != 1) & F.col("__root_alt").between(1, 2)
+    out = f.logit_draws([0.5], [F.lit(0.0), F.lit(0.999999999999)], mask=mask, logsums=2).collect()
+    assert {(r["who"], r["draw"]): r["choice"] for r in out} == {(0, 0): 1, (0, 1): 2, (1, 0): -1, (1, 1): -1, (2, 0): 1, (2, 1): 2}
+    assert {r["who"]: (r["prob"], r["logsum"]) for r in out if r["who"] == 1} == {1: (0.0, 0.0)}
+    counted = f.logit_draws([0.5], 5, mask=mask, pick_counted=True).groupBy("who").agg(F.sum("pick_count").alias("n")).collect()
+    assert {r["who"]: r["n"] for r in counted} == {0: 5, 1: 0, 2: 5}
+    assert {r["who"]: r["logsum"] for r in f.logit_draws([0.5], logsums=1, mask=F.lit(False)).collect()} == {0: 0.0, 1: 0.0, 2: 0.0}
+    named = Tree("cells", cells=Node.product("cells", ("who", spark.range(2).select(F.col("id").alias("who"))), ("alt", spark.createDataFrame([("a",), ("b",)], "alt string"))))
+    out = named.setup_flow({"u": "who * 1.0"}, dtype="float64").logit_draws([0.5], 1, mask=F.col("__root_who") == 0).collect()
+    assert {r["who"]: r["choice"] is None for r in out} == {0: False, 1: True}
+
+
+def test_branches_and_single_dim(tree):
+    assert values(tree["persons"].Income, "persons_Income") == values(tree["persons.Income"], "persons_Income") == [45, 88, 56, 15, 71]
+    assert values(tree["persons"]["Age"], "persons_Age") == [14, 25, 55, 8, 21]
+    with pytest.raises(AttributeError):
+        tree["persons"].nothing
+    assert tree.nodes["persons"].single_dim == "person_id"
+    with pytest.raises(ValueError):
+        tree.nodes["skims"].single_dim
+
+
+def test_utility_table(spark):
     both = choice.utility_to_probability(spark.createDataFrame([(0.0, 0.0)], "a double, b double"), ["a", "b"]).first()
     assert both["p_a"] == pytest.approx(0.5)

@@ -7,6 +7,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..plans.flow import Coefficients, Flow
 from .nesting import NestingTree
@@ -95,7 +96,8 @@ def logit_draws(flow: Flow, coefficients: Coefficients, draws: Any = 1, source:
     logsum; with pick_counted one row for each alternative that was drawn). Two-dimensional roots with one vector of
     coefficients choose among the rows of a chooser, and give one row for each chooser and draw; with ``wide`` or
     several alternatives, each cell chooses as in one dimension. logsums: 1 gives the logsum alone, 2 both. Masked
-    rows have choice -1, probability 0, logsum 0.
+    rows have choice -1, probability 0, logsum 0; so have choosers all of whose cells are masked (a null choice where
+    alternatives have text labels), with a pick_count of 0.
     """
     two = len(flow.tree.nodes[flow.root].frames[0].dims) == 2
     single = _single(coefficients, flow)
@@ -165,21 +167,32 @@ def shares_by_row(df: DataFrame, chooser: str, alternative: str, utility: str) -
 def _long(flow: Flow, coefficients: Coefficients, draws: Any, source: DataFrame | None, logsums: int, pick_counted: bool, mask: str | Column | None, seed: int) -> DataFrame:
     chooser, alternative = flow.tree.nodes[flow.root].frames[0].dims
     df = flow.evaluated(source)
-    if mask is not None:
-        df = df.where(F.coalesce(F.col(f"`__root_{mask}`") if isinstance(mask, str) else mask, F.lit(False)))
     u = next(iter(flow.utilities(coefficients).values()))
+    if mask is not None:  # masked cells have no utility and no share, but keep their chooser
+        u = F.when(F.coalesce(F.col(f"`__root_{mask}`") if isinstance(mask, str) else mask, F.lit(False)), u)
     extra = [] if draws is None or isinstance(draws, int) else _drawn(draws, [], seed)
     d = df.select(F.col(f"`__root_{chooser}`").alias(chooser), F.col(f"`__root_{alternative}`").alias(alternative), u.alias("__u"), *[c.alias(f"__r{i}") for i, c in enumerate(extra)])
     d = shares_by_row(d, chooser, alternative, "__u")
+    if mask is not None:
+        d = d.withColumn("logsum", F.coalesce("logsum", F.lit(0.0)))
     if logsums == 1:
         return d.groupBy(chooser).agg(F.max("logsum").alias("logsum"))
     rs = [F.col(f"__r{i}") for i in range(len(extra))] or _drawn(draws, [F.col(chooser)], seed)
     # a draw falls on the row whose running share first exceeds it, or on the last solid row past the end
     hits = [F.when(((r >= F.col("upto")) & (r < F.col("after"))) | ((r >= F.col("__end")) & (F.col(alternative) == F.col("__last"))), F.lit(i)) for i, r in enumerate(rs)]
-    d = d.withColumn("__hits", F.array_compact(F.array(*hits))).where(F.size("__hits") > 0)
-    keep = [chooser, F.col(alternative).alias("choice"), "prob", *(["logsum"] if logsums else [])]
+    d = d.withColumn("__hits", F.array_compact(F.array(*hits)))
+    picked, share, times = F.col(alternative), F.col("prob"), F.size("__hits")
+    if mask is not None:  # the first cell of a chooser without any stands for its draws
+        first = F.row_number().over(Window.partitionBy(chooser).orderBy(alternative)) == 1
+        d = d.withColumn("__none", F.col("__end").isNull() & first)
+        d = d.withColumn("__hits", F.when(F.col("__none"), F.array(*[F.lit(i) for i in range(len(rs))])).otherwise(F.col("__hits")))
+        kind = d.schema[alternative].dataType
+        picked = F.when(F.col("__none"), F.lit(None if isinstance(kind, T.StringType) else -1).cast(kind)).otherwise(picked)
+        share, times = F.when(F.col("__none"), 0.0).otherwise(share), F.when(F.col("__none"), 0).otherwise(times)
+    d = d.where(F.size("__hits") > 0)
+    keep = [chooser, picked.alias("choice"), share.alias("prob"), *(["logsum"] if logsums else [])]
     if pick_counted:
-        return d.select(*keep, F.size("__hits").alias("pick_count"))
+        return d.select(*keep, times.alias("pick_count"))
     return d.select(*keep, F.explode("__hits").alias("draw"))
 
 

@@ -117,6 +117,13 @@ class Node:
     def variables(self) -> list[str]:
         return list(dict.fromkeys(v for f in self.frames for v in f.variables))
 
+    @property
+    def single_dim(self) -> str:
+        """The name of the only dim; an error if there are none or several."""
+        if len(self.dims) != 1:
+            raise ValueError(f"{self.name} has the dims {self.dims}, not one")
+        return self.dims[0]
+
     def frame_of(self, name: str) -> Frame | None:
         """The frame that holds a variable or, with the fewest dims, a dim."""
         if name in self.blended and not any(name in f.variables for f in self.frames):
@@ -250,6 +257,22 @@ class Relationship:
         return {"parent_data": self.parent_data, "parent_name": self.parent_name, "child_data": self.child_data, "child_name": self.child_name, "indexing": self.indexing}
 
 
+@dataclass(frozen=True)
+class Branch:
+    """The variables of one node, each as the root's rows see it."""
+
+    tree: Tree
+    node: str
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tree.get(f"{self.node}.{name}")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__") or not self.tree.has(self.node, name):
+            raise AttributeError(f"{name} is not in {self.node}")
+        return self[name]
+
+
 class Tree:
     """Nodes linked by relationships. Holds plans only, never data.
 
@@ -444,6 +467,10 @@ class Tree:
             definitions[n.replace(".", "_")] = n if known else default
         return self.setup_flow(definitions, dtype=None).load()
 
+    def __getitem__(self, name: str) -> Branch | DataFrame:
+        """A node's branch, so that tree["node"].var is tree.get("node.var"); else the named variable."""
+        return Branch(self, name) if name in self.nodes else self.get(name)
+
     def eval(self, expression: Any, *, name: str | None = None, dtype: str | None = None) -> DataFrame:
         return self.setup_flow({name or "value": expression}, dtype=dtype).load()
 

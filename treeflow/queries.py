@@ -367,6 +367,18 @@ def mnl_idca_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).setup_flow(_CELL_DEFS, dtype="float64").logit_draws(_CELL_B, draws).select("c_custkey", F.col("draw").cast("int").alias("draw"), "choice")
 
 
+_MASKED = f"select *, exp(u) / sum(exp(u)) over (partition by c_custkey) p from ({_CELL_SQL}) where alt % 2 = 0 and c_custkey % 3 > 0"
+_MASKED_CUM = f"select *, sum(p) over (partition by c_custkey order by alt rows unbounded preceding) cum from ({_MASKED})"
+
+
+@query(f"select c_custkey, cast(i as integer) draw, cast(min(alt) as integer) choice from ({_MASKED_CUM}) cross join range(3) t(i) where cum > {_R} group by all union all select c_custkey, cast(i as integer), -1 from customer cross join range(3) t(i) where c_custkey % 3 = 0")
+def mnl_idca_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the alternatives are masked, and of every third customer all."""
+    draws = [F.expr(_R.replace("c_custkey", "`__root_c_custkey`").replace(" i ", f" {i} ")).cast("double") for i in range(3)]
+    mask = (F.col("__root_alt") % 2 == 0) & (F.col("__root_c_custkey") % 3 > 0)
+    return _cells(spark, sf_dir).setup_flow(_CELL_DEFS, dtype="float64").logit_draws(_CELL_B, draws, mask=mask).select("c_custkey", F.col("draw").cast("int").alias("draw"), F.col("choice").cast("int").alias("choice"))
+
+
 @query(f"select c_custkey, alt, {r6('ln(exp(u) + exp(0.5 * u))')} logsum from ({_CELL_SQL})")
 def mnl_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = {"A": _CELL_B, "B": {k: v / 2 for k, v in _CELL_B.items()}}
