@@ -103,6 +103,40 @@ def test_language(spark, docs_of):
     assert langid.predict(docs_of([(1, "abc")]), None).first()["lang_pred"] == "und"
 
 
+def brute_language(model, text):
+    """Language and score from every subword of every word, one after another."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    total, n = [0.0] * len(model.langs), 0
+    for word in text.lower().split():
+        marked = "\x02" + word + "\x02"
+        for size in range(1, 5):
+            for i in range(len(marked) - size + 1):
+                if marked[i : i + size].strip("\x02"):
+                    h = 1469598103934665603
+                    for c in marked[i : i + size]:
+                        h = ((h ^ ord(c)) * 1099511628211) % 2**64
+                        h ^= h >> 29
+                    row = model.table[(h >> 17) % langid.BUCKETS]
+                    total, n = [x + float(y) for x, y in zip(total, row, strict=True)], n + 1
+    z = [(x / n + float(b)) / model.temperature for x, b in zip(total, model.bias, strict=True)]
+    e = np.exp(np.array(z) - max(z))
+    return model.langs[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_language_against_brute_force(docs_of):
+    rnd = np.random.default_rng(3)
+    alphabets = {"xx": "abcde", "yy": "defgh", "zz": "жздéß"}
+    said = lambda chars: " ".join("".join(rnd.choice(list(chars), rnd.integers(1, 8))) for _ in range(30))
+    rows = [langid.subwords(langid.words_of(said(c))) + (lang,) for lang, c in alphabets.items() for _ in range(40)]
+    model = langid.fit_rows([(b.tolist(), np.full(len(b), 1 / len(b)).tolist(), lang) for b, _, lang in rows])
+    texts = [said(c) for c in alphabets.values() for _ in range(20)] + [None, "", "12 !", "a", "  De\tfG  ", said("abcdefghжß") + " 🙂 x\u00a0y", "ab " * 5000]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs_of(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = brute_language(model, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-5)
+
+
 def test_subwords_stay_in_words():
     both, owner = langid.subwords(["ab", "c"])
     one, two = langid.subwords(["ab"])[0], langid.subwords(["c"])[0]
