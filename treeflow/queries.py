@@ -78,8 +78,8 @@ SKIM_LINKS = ("customer.c_nationkey @ skims.o", "supplier.s_nationkey @ skims.d"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Floats to six places, so that sums in another order compare equal."""
-    six = lambda c: F.when(F.abs(c) < 1e12, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c)  # noqa: E731  infinities and NaN stay
+    """Floats to six places as ``r6`` has them, so that sums in another order compare equal; infinities and NaN stay."""
+    six = lambda c: F.when(F.abs(c) < 1e12, F.floor(c * 1e6 + 0.5) / 1e6).otherwise((c * 1e6 + 0.5) / 1e6)  # noqa: E731  from 1e12 on, what floor gets is whole
     return df.select(*[six(F.col(x.name)).alias(x.name) if isinstance(x.dataType, (T.FloatType, T.DoubleType)) else F.col(x.name) for x in df.schema])
 
 
