@@ -21,6 +21,12 @@ def _greatest(columns: Sequence[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.greatest(*columns)
 
 
+def _any(conditions: Sequence[Column]) -> Column:
+    """Whether one holds; halved, so that many draws make no deep tree."""
+    half = len(conditions) // 2
+    return F.lit(False) if not conditions else conditions[0] if not half else _any(conditions[:half]) | _any(conditions[half:])
+
+
 def _sum(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -150,7 +156,7 @@ def _single(coefficients: Coefficients, flow: Flow) -> bool:
 def shares_by_row(df: DataFrame, chooser: str, alternative: str, utility: str) -> DataFrame:
     """Adds prob, logsum, upto and after (running shares before and with the row) over each chooser's alternatives.
 
-    All windows share one partitioning and order, so there is one shuffle and one sort.
+    All windows share one partitioning and order, so there is one sort, and one shuffle unless rows are dealt by chooser already.
     """
     rows = Window.partitionBy(chooser).orderBy(alternative)
     all_, run = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -159,41 +165,40 @@ def shares_by_row(df: DataFrame, chooser: str, alternative: str, utility: str) -
     d = d.withColumn("__total", F.sum("__e").over(all_))
     d = d.withColumn("prob", F.col("__e") / F.col("__total")).withColumn("logsum", F.log("__total") + F.col("__top"))
     solid = F.when(F.col("prob") >= TRIVIAL, F.col(alternative))
-    d = d.withColumns({"after": F.sum("prob").over(run), "__last": F.max(solid).over(all_)})
-    d = d.withColumns({"upto": F.coalesce(F.lag("after").over(rows), F.lit(0.0)), "__end": F.max("after").over(all_)})
+    before = rows.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"after": F.sum("prob").over(run), "upto": F.coalesce(F.sum("prob").over(before), F.lit(0.0)), "__last": F.max(solid).over(all_), "__end": F.sum("prob").over(all_)})
     return d.drop("__top", "__e", "__total")
 
 
 def _long(flow: Flow, coefficients: Coefficients, draws: Any, source: DataFrame | None, logsums: int, pick_counted: bool, mask: str | Column | None, seed: int) -> DataFrame:
     chooser, alternative = flow.tree.nodes[flow.root].frames[0].dims
-    df = flow.evaluated(source)
+    rs = [] if logsums == 1 else _drawn(draws, [F.col(f"`__root_{chooser}`")], seed)
+    df = flow.evaluated(source, added={f"__r{i}": c for i, c in enumerate(rs)}, by=f"__root_{chooser}")
     u = next(iter(flow.utilities(coefficients).values()))
     if mask is not None:  # masked cells have no utility and no share, but keep their chooser
         u = F.when(F.coalesce(F.col(f"`__root_{mask}`") if isinstance(mask, str) else mask, F.lit(False)), u)
-    extra = [] if draws is None or isinstance(draws, int) else _drawn(draws, [], seed)
-    d = df.select(F.col(f"`__root_{chooser}`").alias(chooser), F.col(f"`__root_{alternative}`").alias(alternative), u.alias("__u"), *[c.alias(f"__r{i}") for i, c in enumerate(extra)])
+    d = df.select(F.col(f"`__root_{chooser}`").alias(chooser), F.col(f"`__root_{alternative}`").alias(alternative), u.alias("__u"), *[f"__r{i}" for i in range(len(rs))])
     d = shares_by_row(d, chooser, alternative, "__u")
     if mask is not None:
         d = d.withColumn("logsum", F.coalesce("logsum", F.lit(0.0)))
     if logsums == 1:
         return d.groupBy(chooser).agg(F.max("logsum").alias("logsum"))
-    rs = [F.col(f"__r{i}") for i in range(len(extra))] or _drawn(draws, [F.col(chooser)], seed)
+    rs = [F.col(f"__r{i}") for i in range(len(rs))]
     # a draw falls on the row whose running share first exceeds it, or on the last solid row past the end
-    hits = [F.when(((r >= F.col("upto")) & (r < F.col("after"))) | ((r >= F.col("__end")) & (F.col(alternative) == F.col("__last"))), F.lit(i)) for i, r in enumerate(rs)]
-    d = d.withColumn("__hits", F.array_compact(F.array(*hits)))
-    picked, share, times = F.col(alternative), F.col("prob"), F.size("__hits")
+    falls = [((r >= F.col("upto")) & (r < F.col("after"))) | ((r >= F.col("__end")) & (F.col(alternative) == F.col("__last"))) for r in rs]
+    picked, share, times = F.col(alternative), F.col("prob"), _sum([F.lit(0), *[F.when(c, 1).otherwise(0) for c in falls]])
     if mask is not None:  # the first cell of a chooser without any stands for its draws
         first = F.row_number().over(Window.partitionBy(chooser).orderBy(alternative)) == 1
         d = d.withColumn("__none", F.col("__end").isNull() & first)
-        d = d.withColumn("__hits", F.when(F.col("__none"), F.array(*[F.lit(i) for i in range(len(rs))])).otherwise(F.col("__hits")))
+        falls = [F.col("__none") | c for c in falls]
         kind = d.schema[alternative].dataType
         picked = F.when(F.col("__none"), F.lit(None if isinstance(kind, T.StringType) else -1).cast(kind)).otherwise(picked)
         share, times = F.when(F.col("__none"), 0.0).otherwise(share), F.when(F.col("__none"), 0).otherwise(times)
-    d = d.where(F.size("__hits") > 0)
+    d = d.where(_any(falls))  # lists are made for rows that are hit, not for every cell
     keep = [chooser, picked.alias("choice"), share.alias("prob"), *(["logsum"] if logsums else [])]
     if pick_counted:
         return d.select(*keep, times.alias("pick_count"))
-    return d.select(*keep, F.explode("__hits").alias("draw"))
+    return d.select(*keep, F.explode(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(falls)])).alias("draw")).where(F.col("draw").isNotNull())
 
 
 def utility_to_probability(df: DataFrame, utilities: Sequence[str], tree: NestingTree | None = None, parameters: Mapping[str, float] | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -165,12 +168,36 @@ class Binder:
 
     # --- joins ---
 
-    def joined(self, root: DataFrame) -> DataFrame:
-        """The root, its columns prefixed, with all registered lookups joined; never more rows than the root."""
-        df = root.select(*[F.col(f"`{c}`").alias(f"__root_{c}") for c in root.columns])
-        for kind, step in self.steps:
+    def joined(self, root: DataFrame | tuple[DataFrame, ...], added: Mapping[str, Column] | None = None, by: str | None = None) -> DataFrame:
+        """The root, its columns prefixed, with all registered lookups joined; never more rows than the root.
+
+        Of a product's sides, what needs the first alone is joined before they are crossed. added: columns to compute
+        as well, there too if they can be. by: a column of the first side; its rows are dealt by it before they are
+        crossed, so that nothing is shuffled by it afterwards.
+        """
+        first, *others = [df.select(*[F.col(f"`{c}`").alias(f"__root_{c}") for c in df.columns]) for df in (root if isinstance(root, tuple) else (root,))]
+        df, later = first, []
+        lacks = {c for other in others for c in other.columns}
+        for number, (kind, step) in enumerate(self.steps):
+            if not others or _resolves(df, self._keys(kind, step), lacks):
+                df = getattr(self, f"_join_{kind}")(df, step)
+            else:
+                later.append((kind, step))
+                lacks |= {f"__j{number}_{v}" for v in step.used} if kind == "lookup" else {f"__e{number}_{v}" for v in step[-1]} if kind == "joint" else {f"__m{number}", f"__b{number}"}
+        early = {n: c for n, c in (added or {}).items() if not others or _resolves(df, [c], lacks)}
+        df = df.withColumns(early) if early else df
+        if others and by is not None:  # a number of partitions, or they are merged by their size before the product
+            df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(f"`{by}`"))
+        for other in others:
+            df = df.crossJoin(other)
+        for kind, step in later:
             df = getattr(self, f"_join_{kind}")(df, step)
-        return df
+        late = {n: c for n, c in (added or {}).items() if n not in early}
+        return df.withColumns(late) if late else df
+
+    def _keys(self, kind: str, step: Any) -> list[Column]:
+        """What a join finds its rows by."""
+        return [c for _, c, _ in step.sources] if kind == "lookup" else [c for c in step if isinstance(c, Column)]
 
     def _join_map(self, df: DataFrame, step: tuple) -> DataFrame:
         number, key, mapping = step
@@ -237,3 +264,14 @@ class Binder:
             what = F.lit(f"{n.name}: no such label")
             out = out.withColumns({c: F.when(hit, F.col(c)).otherwise(F.raise_error(what).cast(child.schema[c].dataType)) for c in columns})
         return out.drop(*keys, f"__hit{look.number}")
+
+
+def _resolves(df: DataFrame, columns: Sequence[Column], lacks: set[str]) -> bool:
+    """Whether a table has all that the columns are made of. Names it lacks are sought first: Spark logs what it cannot resolve."""
+    names = set(re.findall(r"\w+", " ".join(str(c) for c in columns)))
+    if any(names.issuperset(re.findall(r"\w+", x)) for x in lacks):
+        return False
+    try:
+        return bool(columns) and bool(df.select(*columns).schema)
+    except AnalysisException:
+        return False

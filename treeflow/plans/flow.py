@@ -106,10 +106,11 @@ class Flow:
             return v.col.cast("int").cast(self.dtype)
         return v.col.cast(self.dtype)
 
-    def evaluated(self, source: DataFrame | None = None, mask: str | Column | None = None) -> DataFrame:
-        """The joined root with a column __out_<name> for each definition."""
-        root = source if source is not None else self.tree.nodes[self.root].frames[0].df
-        df = self.binder.joined(root)
+    def evaluated(self, source: DataFrame | None = None, mask: str | Column | None = None, *, added: Mapping[str, Column] | None = None, by: str | None = None) -> DataFrame:
+        """The joined root with a column __out_<name> for each definition; see ``Binder.joined`` for the rest."""
+        frame = self.tree.nodes[self.root].frames[0]
+        root = source if source is not None else frame.sides if by and frame.sides else frame.df
+        df = self.binder.joined(root, added, by)
         if mask is not None:
             if self.dtype not in ("float", "double"):
                 raise TypeError("a mask needs a floating dtype")

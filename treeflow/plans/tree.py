@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 
 @dataclass
 class Frame:
-    """Variables that share dims: a long table keyed by one column for each dim."""
+    """Variables that share dims: a long table keyed by one column for each dim. sides: the tables it is the product of."""
 
     dims: tuple[str, ...]
     df: DataFrame
+    sides: tuple[DataFrame, ...] = ()
 
     @property
     def variables(self) -> list[str]:
@@ -107,7 +108,7 @@ class Node:
         df = sides[0][1]
         for _, other in sides[1:]:
             df = df.crossJoin(other)
-        return cls(name, [Frame(tuple(d for d, _ in sides), df)], **known)
+        return cls(name, [Frame(tuple(d for d, _ in sides), df, tuple(s for _, s in sides))], **known)
 
     @property
     def dims(self) -> list[str]:
